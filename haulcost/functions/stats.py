@@ -39,9 +39,33 @@ def strict(value: Column, aggregate: Column) -> Column:
     return F.when(F.count(value) == F.count(F.lit(1)), aggregate)
 
 
-def variance(value: Column) -> Column:
-    """Sample variance, NULL for fewer than two values."""
-    return F.var_samp(value.cast("double"))
+def _cents(value: Column) -> tuple[Column, Column, Column]:
+    """Count, n * n times the variance, and n * (n - 1), of whole cents, all exact."""
+    cents = (value * 100).cast("decimal(18,0)")
+    n = F.count(cents).cast("decimal(15,0)")
+    squares = F.sum((cents * cents).cast("decimal(28,0)")).cast("decimal(38,0)")
+    total = F.sum(cents).cast("decimal(28,0)")
+    deviations = (n * squares).cast("decimal(38,0)") - (total * total).cast("decimal(38,0)")
+    return F.count(cents), deviations, (n * (n - 1)).cast("decimal(30,0)")
+
+
+def money_variance(value: Column) -> Column:
+    """Sample variance of an amount in cents' precision, NULL below two values.
+
+    Sums of whole cents are exact, so the result does not depend on how rows
+    were partitioned, and equal amounts have a variance of exactly zero.
+    """
+    n, deviations, pairs = _cents(value)
+    return F.when(n > 1, deviations.cast("double") / (pairs.cast("double") * 10_000))
+
+
+def rounded_money_variance(value: Column, digits: int) -> Column:
+    """``money_variance`` rounded half up, exact also half-way between two results."""
+    n, deviations, pairs = _cents(value)
+    unit = pairs * 10 ** (4 - digits)
+    doubled = (deviations * 2 + unit).cast("decimal(38,0)")
+    whole = (doubled - F.pmod(doubled, unit * 2)) / (unit * 2)
+    return F.when(n > 1, whole.cast("double") / 10**digits)
 
 
 def count_distinct_with_missing(value: Column) -> Column:

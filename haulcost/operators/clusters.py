@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from multiprocessing.pool import ThreadPool
+
+from pyspark import inheritable_thread_target
 from pyspark.ml.clustering import KMeans, KMeansModel
 from pyspark.ml.feature import PCA, StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
@@ -12,6 +15,7 @@ from haulcost.operators.energy import FUEL_PAIR, LANE_KEYS, SCALED, TYPE
 from haulcost.sources.scratch import cut_lineage
 
 ROUNDS = 10
+FITS_AT_ONCE = 4
 
 
 def fuel_features(scaled: DataFrame) -> DataFrame:
@@ -35,9 +39,12 @@ def kmeans_elbow(features: DataFrame, max_k: int = 15, seed: int = 123) -> DataF
         F.lit(1).alias("k"),
         sum(F.coalesce(F.var_pop(c) * F.count(c), F.lit(0.0)) for c in SCALED).alias("within_ss"),
     )
-    costs = [
-        (k, float(_fit(features, k, seed).summary.trainingCost)) for k in range(2, max_k + 1)
-    ]
+
+    def cost(k: int) -> tuple[int, float]:
+        return k, float(_fit(features, k, seed).summary.trainingCost)
+
+    with ThreadPool(FITS_AT_ONCE) as pool:
+        costs = pool.map(inheritable_thread_target(spark)(cost), range(2, max_k + 1))
     return whole.unionByName(spark.createDataFrame(costs, schema)).orderBy("k")
 
 

@@ -11,10 +11,10 @@ from haulcost.functions import buckets, classify
 from haulcost.functions.stats import (
     count_distinct_with_missing,
     exact_medians,
+    money_variance,
     ratio,
     strict,
     trim_to_quantiles,
-    variance,
 )
 from haulcost.sources.scratch import cut_lineage
 
@@ -137,9 +137,13 @@ def studied_lines(
     ship_to: str | None = None,
     min_shippers: int = 3,
 ) -> DataFrame:
-    """Energy lines with base rates, plausible and on volume lanes."""
+    """Energy lines with base rates, plausible and on volume lanes.
+
+    The plausible lines decide which lanes count and are then filtered by them;
+    they are stored in between so their base rates are joined only once.
+    """
     lines = energy_ledger(ledger, ship_from, ship_to)
-    return use_data(plausible_loads(base_rate(lines)), min_shippers)
+    return use_data(cut_lineage(plausible_loads(base_rate(lines))), min_shippers)
 
 
 def monthly_charges(lines: DataFrame, ship_to: str = "2022-09-15") -> DataFrame:
@@ -196,7 +200,7 @@ def raw_lane_stats(lines: DataFrame) -> DataFrame:
             F.min("amount").cast("double").alias("min"),
             F.max("amount").cast("double").alias("max"),
             ratio(F.sum("amount"), rows).alias("avg"),
-            variance(F.col("amount")).alias("var"),
+            money_variance(F.col("amount")).alias("var"),
             (F.max("amount") - F.min("amount")).cast("double").alias("range"),
             rows.alias("count"),
             *[
@@ -388,8 +392,3 @@ def fuel_loh_distribution(lines: DataFrame) -> DataFrame:
         .withColumn("pct", F.bround(share, 3))
         .orderBy(buckets.haul_rank(F.col("LOH")))
     )
-
-
-def stored_studied_lines(ledger: DataFrame, **bounds) -> DataFrame:
-    """Studied lines, stored once for the jobs that read them more than once."""
-    return cut_lineage(studied_lines(ledger, **bounds))

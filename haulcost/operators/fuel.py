@@ -260,8 +260,10 @@ def load_fuel_totals(ledger: DataFrame, scope: FuelScope = LOAD_STUDY) -> DataFr
 
 
 def sorted_loads(loads: DataFrame) -> DataFrame:
-    """Loads in the published order of the report."""
-    return loads.orderBy("carrier_name", "distance", "cass_shipment_id")
+    """Loads in the published order of the report; the last columns only break ties."""
+    return loads.orderBy(
+        "carrier_name", "distance", "cass_shipment_id", "ship_date", "zip3_lane", "charge_type"
+    )
 
 
 def both_charge_loads(ledger: DataFrame, scope: FuelScope = DRY_VAN_STUDY) -> DataFrame:
@@ -418,12 +420,11 @@ def carrier_charge_averages(
 
 
 def double_charge_lines(ledger: DataFrame, scope: FuelScope = CARRIER_STUDY) -> DataFrame:
-    """Lines of the loads billed under both fuel charge types."""
+    """Lines of the loads billed under both fuel charge types, in no order.
+
+    A sort by load could not spread the equal rows of a load with very many lines.
+    """
     lines = fuel_ledger(ledger, scope)
-    return (
-        lines.join(_both_type_loads(lines), "cass_shipment_id", "left_semi")
-        .select(
-            "cass_shipment_id", F.col("charge_type").alias("accessorial_charge_description")
-        )
-        .orderBy("cass_shipment_id")
+    return lines.join(_both_type_loads(lines), "cass_shipment_id", "left_semi").select(
+        "cass_shipment_id", F.col("charge_type").alias("accessorial_charge_description")
     )

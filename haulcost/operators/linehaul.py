@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from haulcost.functions import buckets, classify
-from haulcost.functions.stats import variance
+from haulcost.functions.stats import rounded_money_variance
 
 def linehaul_of(paid: Column, other_charges: Column) -> Column:
     """Total minus other charges; the total itself if there are none."""
@@ -107,5 +107,5 @@ def linehaul_variance(linehauls: DataFrame) -> DataFrame:
     """Loads and variance of the linehaul per state lane."""
     return linehauls.groupBy("state_lane").agg(
         F.count("cass_shipment_id").alias("lh_loads_per_lane"),
-        F.round(variance(F.col("linehaul")), 2).alias("lh_variance"),
+        rounded_money_variance(F.col("linehaul"), 2).alias("lh_variance"),
     )

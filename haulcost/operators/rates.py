@@ -11,9 +11,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from haulcost.functions import buckets, classify
-from haulcost.functions.stats import exact_medians, join_same, strict, variance
+from haulcost.functions.stats import exact_medians, join_same, money_variance, strict
 from haulcost.operators.energy import use_data
 from haulcost.operators.frequency import van_reefer_lines
+from haulcost.sources.scratch import cut_lineage
 
 LOAD_KEYS = ["cass_shipment_id", "mode", "origin_postal_code", "destination_postal_code"]
 BUNDLES = {
@@ -136,8 +137,12 @@ def plausible_rates(components: DataFrame) -> DataFrame:
 
 
 def studied_rates(ledger: DataFrame, ship_from: str | None = None, min_shippers: int = 3) -> DataFrame:
-    """Plausible dated bundles on lanes with enough shippers."""
-    return use_data(plausible_rates(rate_components(ledger, True, ship_from)), min_shippers)
+    """Plausible dated bundles on lanes with enough shippers.
+
+    Stored before the lanes are counted, so the bundles are made only once.
+    """
+    loads = cut_lineage(plausible_rates(rate_components(ledger, True, ship_from)))
+    return use_data(loads, min_shippers)
 
 
 def lane_rate_variance(rates: DataFrame) -> DataFrame:
@@ -147,7 +152,7 @@ def lane_rate_variance(rates: DataFrame) -> DataFrame:
     """
     return rates.groupBy("mode", "origin_zip3", "dest_zip3", "LOH").agg(
         *[
-            strict(F.col(source), variance(F.col(source))).alias(name)
+            strict(F.col(source), money_variance(F.col(source))).alias(name)
             for name, source in BUNDLES.items()
         ],
         F.count(F.lit(1)).alias("Count"),

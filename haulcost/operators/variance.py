@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from haulcost.functions import buckets, classify
-from haulcost.functions.stats import ratio, variance
+from haulcost.functions.stats import ratio, rounded_money_variance
 from haulcost.operators.linehaul import charge_lines, linehaul_of
 
 DESCRIPTION = F.col("accessorial_charge_description")
@@ -41,7 +41,7 @@ def lane_variance_all(ledger: DataFrame, min_loads: int = 100_000) -> DataFrame:
         loads.groupBy("state_lane")
         .agg(
             F.count("cass_shipment_id").alias("loads_per_lane"),
-            F.round(variance(F.col("paid")), 1).alias("raw_lane_variance"),
+            rounded_money_variance(F.col("paid"), 1).alias("raw_lane_variance"),
         )
         .where(F.col("loads_per_lane") > min_loads)
         .orderBy(F.desc("raw_lane_variance"))
@@ -68,7 +68,7 @@ def lane_variance_base_only(ledger: DataFrame, min_loads: int = 100_000) -> Data
         .agg(
             F.count("cass_shipment_id").alias("loads_per_lane"),
             F.count(base_only).alias("base_only"),
-            F.round(variance(base_only), 1).alias("raw_lane_variance"),
+            rounded_money_variance(base_only, 1).alias("raw_lane_variance"),
         )
         .where((F.col("loads_per_lane") > min_loads) & (F.col("base_only") > 0))
         .drop("base_only")
@@ -236,7 +236,7 @@ def keyword_variance_by_lane(
         .groupBy("state_lane", "label")
         .agg(
             F.count("cass_shipment_id").alias("loads"),
-            F.round(variance(value), 2).alias("variance"),
+            rounded_money_variance(value, 2).alias("variance"),
         )
     )
     lane = Window.partitionBy("state_lane")

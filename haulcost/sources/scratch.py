@@ -1,28 +1,36 @@
-"""Cutting lineage on storage every executor can reach."""
+"""Intermediate tables on storage every executor can reach."""
 
 from __future__ import annotations
 
 import tempfile
+import uuid
+from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
 
 
-def _checkpoint_folder(spark: SparkSession) -> str:
+@cache
+def _own_folder() -> str:
+    return tempfile.mkdtemp(prefix="haulcost-")
+
+
+def scratch_folder(spark: SparkSession) -> str:
+    """The session's ``spark.checkpoint.dir``; only a local session may do without."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder:
         return folder
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
-    return tempfile.mkdtemp(prefix="haulcost-checkpoint-")
+    return _own_folder()
 
 
 def cut_lineage(frame: DataFrame) -> DataFrame:
-    """Store a frame that is read several times, so it is computed once.
+    """Write a frame that is read several times as a table, and read that instead.
 
-    Uses the session's ``spark.checkpoint.dir``; only a local session without
-    one gets a folder of its own.
+    The table outlives lost executors, is read column by column, and its size is
+    known to the optimizer.
     """
     spark = frame.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(_checkpoint_folder(spark))
-    return frame.checkpoint()
+    folder = f"{scratch_folder(spark)}/haulcost-{uuid.uuid4().hex}"
+    frame.write.parquet(folder)
+    return spark.read.schema(frame.schema).parquet(folder)
