@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from haulcost.functions import buckets, classify
 from haulcost.functions.stats import ratio
 
-DESCRIPTION = F.col("accessorial_charge_description")
+DESCRIPTION = "accessorial_charge_description"
 
 
 def _loads_with(ledger: DataFrame, keys: dict[str, Column], is_hit: Column) -> DataFrame:
@@ -40,7 +40,7 @@ def accessorial_coverage(ledger: DataFrame, keys: Sequence[str] = ()) -> DataFra
     spellings count as accessorials. Keys that are missing, or never have an
     accessorial load, do not appear.
     """
-    hit = classify.like_none(DESCRIPTION, classify.RAW_BASE_FUEL_PATTERNS)
+    hit = classify.like_none(F.col(DESCRIPTION), classify.RAW_BASE_FUEL_PATTERNS)
     counts = _loads_with(ledger, {key: F.col(key) for key in keys}, hit)
     if keys:
         counts = counts.where(F.col("loads_with_true_accessorial") > 0).dropna(subset=list(keys))

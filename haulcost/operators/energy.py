@@ -19,7 +19,7 @@ from haulcost.functions.stats import (
 from haulcost.sources.scratch import cut_lineage
 
 TYPE = "accessorial_charge_description"
-AMOUNT = F.col("accessorial_charge_amount")
+AMOUNT = "accessorial_charge_amount"
 # The two charge types under comparison, and the types charted by month.
 FUEL_PAIR = ["FUEL CHARGE", "FUEL SURCHARGE"]
 CHARTED_TYPES = [
@@ -84,7 +84,7 @@ def base_rate(lines: DataFrame) -> DataFrame:
         lines.where(~classify.contains_word(F.col(TYPE), "BASE"))
         .groupBy(F.col("cass_shipment_id").alias("load_id"))
         .agg(
-            F.coalesce(F.sum(AMOUNT), F.lit(0)).cast("decimal(28,2)").alias("other_sum"),
+            F.coalesce(F.sum(F.col(AMOUNT)), F.lit(0)).cast("decimal(28,2)").alias("other_sum"),
             strict(paid, F.max(paid)).alias("load_total"),
         )
     )
@@ -158,7 +158,7 @@ def monthly_charges(lines: DataFrame, ship_to: str = "2022-09-15") -> DataFrame:
         F.trunc("ship_date", "year").alias("year"),
         F.trunc("ship_date", "month").alias("month"),
         TYPE,
-        AMOUNT.alias("amount"),
+        F.col(AMOUNT).alias("amount"),
     )
     medians = exact_medians(
         keyed,
@@ -187,9 +187,9 @@ def raw_lane_stats(lines: DataFrame) -> DataFrame:
     """
     measured = lines.where(F.col(TYPE) != "BASE CHARGE").select(
         *LANE_KEYS,
-        AMOUNT.alias("amount"),
-        ratio(AMOUNT, F.col("base_rate")).alias("of_base"),
-        ratio(AMOUNT, F.col("amount_paid")).alias("of_total"),
+        F.col(AMOUNT).alias("amount"),
+        ratio(F.col(AMOUNT), F.col("base_rate")).alias("of_base"),
+        ratio(F.col(AMOUNT), F.col("amount_paid")).alias("of_total"),
     )
     rows = F.count(F.lit(1))
     stats = exact_medians(
@@ -290,9 +290,9 @@ def loh_regression(lines: DataFrame, charge_type: str) -> DataFrame:
     class, so one aggregation is enough. The alphabetically first class is the
     reference. One row per coefficient, the fit's own figures repeated.
     """
-    amount = AMOUNT.cast("double")
+    amount = F.col(AMOUNT).cast("double")
     classes = (
-        lines.where((F.col(TYPE) == charge_type) & AMOUNT.isNotNull())
+        lines.where((F.col(TYPE) == charge_type) & F.col(AMOUNT).isNotNull())
         .groupBy("LOH")
         .agg(
             F.count(F.lit(1)).alias("n"),

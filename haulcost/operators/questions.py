@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from haulcost.functions import buckets, classify
 from haulcost.functions.stats import ratio
 
-DESCRIPTION = F.upper("accessorial_charge_description")
+DESCRIPTION = "accessorial_charge_description"
 # Charges that belong to the all-in rate. Detention never does.
 ALL_IN_PATTERNS = ("%BASE%", "%FUEL%", "%LINEHAUL%", "%LINE HAUL%", "%TOLL%", "%APPOINTMENT%")
 DETENTION_PATTERNS = ["%DETENTION%"]
@@ -22,8 +22,8 @@ def all_in_gap(ledger: DataFrame, included: Sequence[str] = ALL_IN_PATTERNS) ->
     Everything not ``included`` is taken off, and detention in any case; a line
     without a description is not judged and stays in.
     """
-    left_out = classify.like_none(DESCRIPTION, list(included)) | classify.like_any(
-        DESCRIPTION, DETENTION_PATTERNS
+    left_out = classify.like_none(F.upper(DESCRIPTION), list(included)) | classify.like_any(
+        F.upper(DESCRIPTION), DETENTION_PATTERNS
     )
     left_out_sum = F.sum(F.when(left_out, F.col("accessorial_charge_amount")))
     return (
@@ -45,7 +45,7 @@ def all_in_gap(ledger: DataFrame, included: Sequence[str] = ALL_IN_PATTERNS) ->
 def shipper_component_coverage(ledger: DataFrame) -> DataFrame:
     """Shippers with base, fuel and accessorial lines, in number and percent."""
     keyword = classify.first_match(
-        DESCRIPTION, [("base", ["%BASE%"]), ("fuel", ["%FUEL%"])], "accessorial"
+        F.upper(DESCRIPTION), [("base", ["%BASE%"]), ("fuel", ["%FUEL%"])], "accessorial"
     )
     component = F.when(F.col("accessorial_charge_description").isNotNull(), keyword)
     names = ("base", "fuel", "accessorial")

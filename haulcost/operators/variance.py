@@ -11,8 +11,8 @@ from haulcost.functions import buckets, classify
 from haulcost.functions.stats import ratio, rounded_money_variance
 from haulcost.operators.linehaul import charge_lines, linehaul_of
 
-DESCRIPTION = F.col("accessorial_charge_description")
-AMOUNT = F.col("accessorial_charge_amount")
+DESCRIPTION = "accessorial_charge_description"
+AMOUNT = "accessorial_charge_amount"
 # Stands for the linehaul itself among the keywords.
 LINEHAUL_LABEL = ""
 # Loads a lane needs, by keyword, in the ten-keyword study.
@@ -54,7 +54,7 @@ def lane_variance_base_only(ledger: DataFrame, min_loads: int = 100_000) -> Data
     ``loads_per_lane`` and the threshold count all loads of the lane. A load's
     lanes are brought together after summing up, at most one row per state pair.
     """
-    other = F.coalesce(classify.like_none(DESCRIPTION, classify.BASE_PATTERNS), F.lit(False))
+    other = F.coalesce(classify.like_none(F.col(DESCRIPTION), classify.BASE_PATTERNS), F.lit(False))
     loads = (
         ledger.where(F.col("amount_paid").isNotNull())
         .groupBy("cass_shipment_id", buckets.state_lane().alias("state_lane"))
@@ -101,7 +101,7 @@ def _lane_product(lines: DataFrame, sides: dict[str, Column]) -> DataFrame:
             for name, member in sides.items()
             for column in (
                 F.count(F.when(member, F.lit(1))).alias(f"{name}_lines"),
-                F.sum(F.when(member, AMOUNT)).cast("double").alias(name),
+                F.sum(F.when(member, F.col(AMOUNT))).cast("double").alias(name),
             )
         ]
     )
@@ -134,11 +134,11 @@ def lane_variance_base_vs_fuel(ledger: DataFrame, min_loads: int = 100_000) -> D
 
     Words are looked up in the case they are usually written in.
     """
-    base = DESCRIPTION.like("%BASE%")
+    base = F.col(DESCRIPTION).like("%BASE%")
     lines = ledger.where(F.col("amount_paid").isNotNull()).withColumn(
         "state_lane", buckets.state_lane()
     )
-    fuel = base | DESCRIPTION.like("%FUEL%") | DESCRIPTION.like("%Fuel%")
+    fuel = base | F.col(DESCRIPTION).like("%FUEL%") | F.col(DESCRIPTION).like("%Fuel%")
     return (
         _lane_product(
             lines.where(F.col("state_lane").isNotNull()), {"base": base, "fuel": fuel}
