@@ -88,17 +88,40 @@ LINEHAUL_PATTERNS = ["%BASE%", "%LINEHAUL%", "%LINE HAUL%"]
 CALIFORNIA_FALSE_FRIENDS = ["%CAN%", "%FCA%", "%WEIGHT%", "%TSCA%", "%APCA%", "%ECA%"]
 # Patterns matched on the text as written, in the case given.
 RAW_BASE_FUEL_PATTERNS = ["%Fuel%", "%FUEL%", "%BASE%"]
-RAW_FUEL_WORDS = "FUEL|ENERGY"
-RAW_BASE_WORD = "BASE"
-RAW_TARGETED_WORDS = (
-    "PICKUP|DELIVERY|LOADING|USED|TOLL|TAX|CUSTOMS|BORDER|COMPLIANCE|"
-    "MANAGEMENT|MISCELL|DUTY|CARBON"
-)
+RAW_FUEL_WORDS = ["FUEL", "ENERGY"]
+RAW_BASE_WORDS = ["BASE"]
+RAW_TARGETED_WORDS = [
+    "PICKUP",
+    "DELIVERY",
+    "LOADING",
+    "USED",
+    "TOLL",
+    "TAX",
+    "CUSTOMS",
+    "BORDER",
+    "COMPLIANCE",
+    "MANAGEMENT",
+    "MISCELL",
+    "DUTY",
+    "CARBON",
+]
+
+
+def _like(text: Column, pattern: str) -> Column:
+    """``LIKE``, looking first whether all words of the pattern occur at all.
+
+    A pattern of one word is a plain search anyway. Only patterns of several
+    words run as a regex, and few lines hold all of their words.
+    """
+    words = [word for word in pattern.split("%") if word]
+    if len(words) < 2:
+        return text.like(pattern)
+    return reduce(lambda a, b: a & b, [*map(text.contains, words), text.like(pattern)])
 
 
 def like_any(text: Column, patterns: list[str]) -> Column:
     """True if any pattern matches; NULL for NULL text, as in SQL."""
-    return reduce(lambda a, b: a | b, [text.like(p) for p in patterns])
+    return reduce(lambda a, b: a | b, [_like(text, p) for p in patterns])
 
 
 def like_none(text: Column, patterns: list[str]) -> Column:
@@ -106,9 +129,10 @@ def like_none(text: Column, patterns: list[str]) -> Column:
     return ~like_any(text, patterns)
 
 
-def contains_word(text: Column, words: str) -> Column:
-    """Regex search where a missing text counts as "not found"."""
-    return F.coalesce(text.rlike(words), F.lit(False))
+def contains_any(text: Column, words: list[str]) -> Column:
+    """True if any word occurs; a missing text counts as "not found"."""
+    found = reduce(lambda a, b: a | b, map(text.contains, words))
+    return F.coalesce(found, F.lit(False))
 
 
 def first_match(text: Column, rules: Rules, otherwise: Column | str | None = None) -> Column:
@@ -122,10 +146,12 @@ def first_match(text: Column, rules: Rules, otherwise: Column | str | None = Non
 
 
 def matching_labels(text: Column, rules: Rules) -> Column:
-    """Array of the labels of all rules that match."""
-    return F.array_compact(
-        F.array(*[F.when(like_any(text, patterns), F.lit(label)) for label, patterns in rules])
-    )
+    """Array of the labels of all rules that match.
+
+    ``array_except`` drops the NULLs in generated code, ``array_compact`` does not.
+    """
+    hits = [F.when(like_any(text, patterns), F.lit(label)) for label, patterns in rules]
+    return F.array_except(F.array(*hits), F.array(F.lit(None).cast("string")))
 
 
 def is_california(text: Column) -> Column:

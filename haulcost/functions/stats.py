@@ -15,6 +15,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from haulcost.functions.joins import join_same
 from haulcost.sources.scratch import cut_lineage
 
 # percentile_approx guarantees a rank error below rows / ACCURACY.
@@ -73,21 +74,6 @@ def count_distinct_with_missing(value: Column) -> Column:
     return F.count_distinct(value) + F.max(value.isNull().cast("int"))
 
 
-def join_same(
-    left: DataFrame, right: DataFrame, names: Sequence[str], how: str = "inner"
-) -> DataFrame:
-    """Join on equal columns where NULL matches NULL, keeping one copy of the keys."""
-    keyed = right.select(
-        *[F.col(name).alias(f"_right_{name}") for name in names],
-        *[name for name in right.columns if name not in names],
-    )
-    condition = reduce(
-        lambda a, b: a & b,
-        [F.col(name).eqNullSafe(F.col(f"_right_{name}")) for name in names],
-    )
-    return left.join(keyed, condition, how).drop(*[f"_right_{name}" for name in names])
-
-
 def _long(frame: DataFrame, keys: Sequence[str], columns: Sequence[str]) -> DataFrame:
     """One row per key, column and non-missing value."""
     cells = F.array(

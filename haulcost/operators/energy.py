@@ -8,18 +8,19 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from haulcost.functions import buckets, classify
+from haulcost.functions.joins import join_hot
 from haulcost.functions.stats import (
     count_distinct_with_missing,
     exact_medians,
     money_variance,
     ratio,
-    strict,
     trim_to_quantiles,
 )
 from haulcost.sources.scratch import cut_lineage
 
 TYPE = "accessorial_charge_description"
 AMOUNT = "accessorial_charge_amount"
+BASE_TYPE = "BASE CHARGE"
 # The two charge types under comparison, and the types charted by month.
 FUEL_PAIR = ["FUEL CHARGE", "FUEL SURCHARGE"]
 CHARTED_TYPES = [
@@ -77,19 +78,24 @@ def base_rate(lines: DataFrame) -> DataFrame:
     """Lines with their load's total, non-base sum and base rate.
 
     A load with base lines only has no such sums: they default to the line's
-    own total and to zero.
+    own total and to zero. The lines are not filtered by type but summed
+    conditionally, so the type is derived once and not again for a filter.
     """
-    paid = F.col("amount_paid")
+    paid, is_other = F.col("amount_paid"), F.col(TYPE) != BASE_TYPE
+    other_lines = F.count_if(is_other)
+    other_paid = F.when(is_other, paid)
     loads = (
-        lines.where(~classify.contains_word(F.col(TYPE), "BASE"))
-        .groupBy(F.col("cass_shipment_id").alias("load_id"))
+        lines.groupBy("cass_shipment_id")
         .agg(
-            F.coalesce(F.sum(F.col(AMOUNT)), F.lit(0)).cast("decimal(28,2)").alias("other_sum"),
-            strict(paid, F.max(paid)).alias("load_total"),
+            other_lines.alias("other_lines"),
+            F.coalesce(F.sum(F.when(is_other, F.col(AMOUNT))), F.lit(0))
+            .cast("decimal(28,2)")
+            .alias("other_sum"),
+            F.when(F.count(other_paid) == other_lines, F.max(other_paid)).alias("load_total"),
         )
+        .where(F.col("other_lines") > 0)
     )
-    joined = lines.join(loads, F.col("cass_shipment_id") == F.col("load_id"), "left")
-    return joined.select(
+    return join_hot(lines, loads, "cass_shipment_id", "left").select(
         *lines.columns,
         F.coalesce("other_sum", F.lit(0)).cast("decimal(28,2)").alias("non_base_total"),
         F.coalesce("load_total", paid).alias("total"),
@@ -128,7 +134,7 @@ def volume_lanes(loads: DataFrame, min_shippers: int = 3) -> DataFrame:
 def use_data(loads: DataFrame, min_shippers: int = 3) -> DataFrame:
     """Rows on a lane that has enough shippers in any mode, class or week."""
     lanes = volume_lanes(loads, min_shippers).select("lane").distinct()
-    return loads.join(lanes, "lane", "left_semi")
+    return join_hot(loads, lanes, "lane", "left_semi")
 
 
 def studied_lines(
@@ -185,7 +191,7 @@ def raw_lane_stats(lines: DataFrame) -> DataFrame:
 
     Lanes with an unknown end, a missing amount or a single price are left out.
     """
-    measured = lines.where(F.col(TYPE) != "BASE CHARGE").select(
+    measured = lines.where(F.col(TYPE) != BASE_TYPE).select(
         *LANE_KEYS,
         F.col(AMOUNT).alias("amount"),
         ratio(F.col(AMOUNT), F.col("base_rate")).alias("of_base"),

@@ -11,6 +11,17 @@ from haulcost.functions.stats import ratio
 DESCRIPTION = "accessorial_charge_description"
 
 
+def _distinct_texts(ledger: DataFrame, *keys: Column) -> DataFrame:
+    """Lines per distinct raw description and key.
+
+    There are few spellings compared with lines, so whatever is derived from
+    the text is then derived once per spelling. Unfold lists made from it with
+    ``explode_outer``: plain ``explode`` makes the optimizer filter the lines by
+    the size of the list, which derives it once per line after all.
+    """
+    return ledger.groupBy(*keys, DESCRIPTION).agg(F.count(F.lit(1)).alias("lines"))
+
+
 def charge_frequency(ledger: DataFrame) -> DataFrame:
     """Lines per raw description, most frequent first; missing text counts 0."""
     return (
@@ -73,11 +84,12 @@ def keyword_counts_by_system(ledger: DataFrame) -> DataFrame:
     """Lines per keyword and billing system; a line counts for every keyword in it."""
     labels = classify.matching_labels(F.upper(DESCRIPTION), classify.COUNT_RULES)
     return (
-        ledger.select(
-            F.upper("system_type").alias("system_type"), F.explode(labels).alias(DESCRIPTION)
-        )
+        _distinct_texts(ledger, F.upper("system_type").alias("system_type"))
+        .select("system_type", labels.alias("labels"), "lines")
+        .select("system_type", F.explode_outer("labels").alias(DESCRIPTION), "lines")
+        .where(F.col(DESCRIPTION).isNotNull())
         .groupBy("system_type", DESCRIPTION)
-        .agg(F.count(F.lit(1)).alias("count"))
+        .agg(F.sum("lines").alias("count"))
     )
 
 
@@ -127,18 +139,40 @@ WORD_BREAK = (
 )
 
 
-def word_frequency(texts: DataFrame, column: str) -> DataFrame:
+def description_word_frequency(ledger: DataFrame) -> DataFrame:
+    """Words of the charge descriptions over all lines."""
+    return word_frequency(_distinct_texts(ledger), DESCRIPTION, "lines")
+
+
+def charge_frequency_by_lane(ledger: DataFrame) -> DataFrame:
+    """Lines per state lane and charge keyword."""
+    return (
+        _distinct_texts(ledger, buckets.state_lane().alias("state_lane"))
+        .groupBy(
+            "state_lane",
+            classify.share_keyword(F.col(DESCRIPTION)).alias("accessorial_charge_keyword"),
+        )
+        .agg(F.sum("lines").alias("lines"))
+        .orderBy("state_lane", F.desc("lines"))
+    )
+
+
+def word_frequency(texts: DataFrame, column: str, times: str | None = None) -> DataFrame:
     """Occurrences of each lower-case word of a text column, most frequent first.
 
+    ``times`` names a column saying how often a text occurs.
+
     Words are runs of letters, digits and marks. An apostrophe or full stop
     between letters, and also a comma or semicolon between digits, stays inside
     the word; every other character ends it.
     """
     words = F.split(F.lower(F.col(column)), WORD_BREAK)
+    occurrences = F.lit(1).cast("bigint") if times is None else F.col(times)
     return (
-        texts.select(F.explode(words).alias("word"))
+        texts.select(words.alias("words"), occurrences.alias("times"))
+        .select(F.explode_outer("words").alias("word"), "times")
         .where(F.col("word").rlike(r"[\p{L}\p{N}]"))
         .groupBy("word")
-        .agg(F.count(F.lit(1)).alias("n"))
+        .agg(F.sum("times").alias("n"))
         .orderBy(F.desc("n"), "word")
     )

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from haulcost.functions import buckets, classify
+from haulcost.functions.joins import join_hot
 from haulcost.functions.stats import mean, ratio
 
 CHARGE = "FUEL CHARGE"
@@ -247,11 +248,11 @@ def load_fuel_totals(ledger: DataFrame, scope: FuelScope = LOAD_STUDY) -> DataFr
     sums = lines.groupBy(*LOAD_COLUMNS, "charge_type").agg(
         F.sum("accessorial_charge_amount").alias("total_fuel")
     )
-    spellings = lines.groupBy(F.col("cass_shipment_id").alias("load_id")).agg(
+    spellings = lines.groupBy("cass_shipment_id").agg(
         (F.min("charge_raw") != F.max("charge_raw")).alias("several")
     )
     charge_type = F.when(F.col("several"), F.lit("BOTH")).otherwise(F.col("charge_type"))
-    return sums.join(spellings, F.col("cass_shipment_id") == F.col("load_id")).select(
+    return join_hot(sums, spellings, "cass_shipment_id").select(
         *[c for c in LOAD_COLUMNS if c != "amount_paid"],
         charge_type.alias("charge_type"),
         F.col("total_fuel").cast("decimal(28,2)").alias("total_fuel"),
@@ -338,7 +339,7 @@ def _both_type_loads(lines: DataFrame) -> DataFrame:
 def single_type_lines(ledger: DataFrame, scope: FuelScope = CARRIER_STUDY) -> DataFrame:
     """Fuel lines of the loads billed under one fuel charge type only."""
     lines = fuel_ledger(ledger, scope)
-    return lines.join(_both_type_loads(lines), "cass_shipment_id", "left_anti")
+    return join_hot(lines, _both_type_loads(lines), "cass_shipment_id", "left_anti")
 
 
 def _type_counts() -> list[Column]:
@@ -425,6 +426,6 @@ def double_charge_lines(ledger: DataFrame, scope: FuelScope = CARRIER_STUDY) ->
     A sort by load could not spread the equal rows of a load with very many lines.
     """
     lines = fuel_ledger(ledger, scope)
-    return lines.join(_both_type_loads(lines), "cass_shipment_id", "left_semi").select(
+    return join_hot(lines, _both_type_loads(lines), "cass_shipment_id", "left_semi").select(
         "cass_shipment_id", F.col("charge_type").alias("accessorial_charge_description")
     )

@@ -97,17 +97,3 @@ def lane_shipper_concentration(ledger: DataFrame) -> DataFrame:
         )
         .orderBy(F.desc("top_share"), "state_lane")
     )
-
-
-def charge_frequency_by_lane(ledger: DataFrame) -> DataFrame:
-    """Lines per state lane and charge keyword."""
-    return (
-        ledger.groupBy(
-            buckets.state_lane().alias("state_lane"),
-            classify.share_keyword(F.col("accessorial_charge_description")).alias(
-                "accessorial_charge_keyword"
-            ),
-        )
-        .agg(F.count(F.lit(1)).alias("lines"))
-        .orderBy("state_lane", F.desc("lines"))
-    )

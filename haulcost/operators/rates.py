@@ -11,7 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from haulcost.functions import buckets, classify
-from haulcost.functions.stats import exact_medians, join_same, money_variance, strict
+from haulcost.functions.joins import join_same
+from haulcost.functions.stats import exact_medians, money_variance, strict
 from haulcost.operators.energy import use_data
 from haulcost.operators.frequency import van_reefer_lines
 from haulcost.sources.scratch import cut_lineage
@@ -33,23 +34,27 @@ def _components(lines: DataFrame, dated: bool) -> DataFrame:
     skipped for fuel and targeted charges, but makes ``other_total`` missing.
     """
     text, amount = F.col("accessorial_charge_description"), F.col("accessorial_charge_amount")
-    fuel = classify.contains_word(text, classify.RAW_FUEL_WORDS)
-    other = ~fuel & ~classify.contains_word(text, classify.RAW_BASE_WORD)
-    targeted = classify.contains_word(text, classify.RAW_TARGETED_WORDS)
+    fuel = classify.contains_any(text, classify.RAW_FUEL_WORDS)
+    flagged = lines.select(
+        *LOAD_KEYS,
+        amount,
+        fuel.alias("fuel"),
+        (~fuel & ~classify.contains_any(text, classify.RAW_BASE_WORDS)).alias("other"),
+        classify.contains_any(text, classify.RAW_TARGETED_WORDS).alias("targeted"),
+    )
 
-    def part(name: str, chosen: Column, skip_missing: bool) -> Column:
+    def part(flag: str, skip_missing: bool) -> Column:
+        chosen = F.col(flag)
         total = F.sum(F.when(chosen, amount))
         lines_of_part = F.count_if(chosen)
         if skip_missing:
             total = F.when(lines_of_part > 0, F.coalesce(total, F.lit(0)))
         else:
             total = F.when(F.count(F.when(chosen, amount)) == lines_of_part, total)
-        return total.cast(MONEY).alias(name)
+        return total.cast(MONEY).alias(f"{flag}_total")
 
-    sums = lines.groupBy(*LOAD_KEYS).agg(
-        part("fuel_total", fuel, dated),
-        part("other_total", other, False),
-        part("targeted_total", targeted, dated),
+    sums = flagged.groupBy(*LOAD_KEYS).agg(
+        part("fuel", dated), part("other", False), part("targeted", dated)
     )
     if not dated:
         return sums
@@ -63,8 +68,8 @@ def _components(lines: DataFrame, dated: bool) -> DataFrame:
 def _base_rates(lines: DataFrame, extra: list[str], dated: bool) -> DataFrame:
     """Total and base rate of the loads that have a non-base line."""
     amount, paid = F.col("accessorial_charge_amount"), F.col("amount_paid")
-    base = classify.contains_word(
-        F.col("accessorial_charge_description"), classify.RAW_BASE_WORD
+    base = classify.contains_any(
+        F.col("accessorial_charge_description"), classify.RAW_BASE_WORDS
     )
     if dated:
         other = F.coalesce(F.sum(amount), F.lit(0))

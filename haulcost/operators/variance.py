@@ -210,15 +210,13 @@ def keyword_variance_by_lane(
     keyword.
     """
     labels = F.concat(
-        F.array(F.lit(LINEHAUL_LABEL)),
-        F.coalesce(
-            classify.matching_labels(F.col("description"), rules), F.array().cast("array<string>")
-        ),
+        F.array(F.lit(LINEHAUL_LABEL)), classify.matching_labels(F.col("description"), rules)
     )
     is_linehaul = F.col("label") == LINEHAUL_LABEL
     per_load = (
         charge_lines(ledger, base=base, created_after=created_after, matching=matching)
-        .withColumn("label", F.explode(labels))
+        .withColumn("labels", labels)
+        .withColumn("label", F.explode_outer("labels"))
         .groupBy("cass_shipment_id", "state_lane", "label")
         .agg(
             F.max("paid").alias("paid"),

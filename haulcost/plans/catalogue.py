@@ -124,7 +124,7 @@ JOBS: dict[str, Job] = {
     "lane_traffic": frequency.lane_traffic,
     "keyword_counts_by_system": frequency.keyword_counts_by_system,
     "keyword_mix_legacy_vs_global": frequency.keyword_mix_legacy_vs_global,
-    "word_frequency": lambda x: frequency.word_frequency(x, "accessorial_charge_description"),
+    "word_frequency": frequency.description_word_frequency,
     # Share of amount paid
     "accessorial_share_by_state_pair": share.accessorial_share_by_state_pair,
     "accessorial_share_by_shipper": share.accessorial_share_by_shipper,
@@ -229,7 +229,7 @@ JOBS: dict[str, Job] = {
     "all_in_gap": questions.all_in_gap,
     "shipper_component_coverage": questions.shipper_component_coverage,
     "lane_shipper_concentration": questions.lane_shipper_concentration,
-    "charge_frequency_by_lane": questions.charge_frequency_by_lane,
+    "charge_frequency_by_lane": frequency.charge_frequency_by_lane,
 }
 
 

@@ -12,7 +12,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from conftest import by
-from haulcost.functions import buckets, classify, stats
+from haulcost.functions import buckets, classify, joins, stats
 
 
 def texts(spark, *values):
@@ -84,7 +84,7 @@ def test_missing_text_in_both_readings(spark):
     frame = texts(spark, None)
     row = frame.select(
         classify.like_none(F.col("t"), ["%BASE%"]).alias("sql"),
-        classify.contains_word(F.col("t"), "BASE").alias("found"),
+        classify.contains_any(F.col("t"), ["BASE"]).alias("found"),
     ).first()
     assert row.sql is None and row.found is False
 
@@ -154,7 +154,7 @@ def test_missing_counts_as_a_value(spark):
 def test_join_same_matches_missing_keys(spark):
     left = spark.createDataFrame([(None, 1), ("a", 2)], "k string, l int")
     right = spark.createDataFrame([(None, 10), ("b", 20)], "k string, r int")
-    rows = {r.l: r.r for r in stats.join_same(left, right, ["k"], "left").collect()}
+    rows = {r.l: r.r for r in joins.join_same(left, right, ["k"], "left").collect()}
     assert rows == {1: 10, 2: None}
 
 

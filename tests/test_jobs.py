@@ -705,7 +705,7 @@ def test_shipper_questions(ledger):
     assert (row.shippers, row.with_base, row.with_fuel, row.with_accessorial) == (2, 1, 1, 1)
     top = questions.lane_shipper_concentration(frame).first()
     assert (top.top_shipper, top.lane_loads, top.top_share) == ("b", 3, 66.67)
-    lanes = questions.charge_frequency_by_lane(frame)
+    lanes = frequency.charge_frequency_by_lane(frame)
     assert {(r.accessorial_charge_keyword, r.lines) for r in lanes.collect()} == {
         ("BASE", 1), ("TOLL", 1), ("FUEL", 2),
     }
