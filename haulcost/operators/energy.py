@@ -12,6 +12,7 @@ from haulcost.functions.joins import join_hot
 from haulcost.functions.stats import (
     count_distinct_with_missing,
     exact_medians,
+    mean,
     money_variance,
     ratio,
     trim_to_quantiles,
@@ -296,14 +297,14 @@ def loh_regression(lines: DataFrame, charge_type: str) -> DataFrame:
     class, so one aggregation is enough. The alphabetically first class is the
     reference. One row per coefficient, the fit's own figures repeated.
     """
-    amount = F.col(AMOUNT).cast("double")
+    squares = money_variance(F.col(AMOUNT)) * (F.count(F.lit(1)) - 1)
     classes = (
         lines.where((F.col(TYPE) == charge_type) & F.col(AMOUNT).isNotNull())
         .groupBy("LOH")
         .agg(
             F.count(F.lit(1)).alias("n"),
-            F.avg(amount).alias("mean"),
-            (F.var_pop(amount) * F.count(F.lit(1))).alias("squares"),
+            mean(F.col(AMOUNT)).alias("mean"),
+            F.coalesce(squares, F.lit(0.0)).alias("squares"),
         )
     )
     # At most one row per haul class from here on.

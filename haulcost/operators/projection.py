@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from haulcost.functions import buckets
-from haulcost.functions.stats import exact_medians, ratio, strict, trim_to_quantiles
+from haulcost.functions.stats import exact_medians, mean, ratio, strict, trim_to_quantiles
 
 # Miles per gallon, fuel charge per gallon, fuel cost per gallon.
 MILES_PER_GALLON = (5, 6.5, 8)
@@ -121,8 +121,7 @@ MEDIANS = {
 
 def _means(projected: DataFrame, keys: list[str]) -> DataFrame:
     averages = [
-        strict(F.col(measure), F.avg(F.col(measure).cast("double"))).alias(name)
-        for measure, name in MEANS.items()
+        strict(F.col(measure), mean(F.col(measure))).alias(name) for measure, name in MEANS.items()
     ]
     return projected.groupBy(*keys).agg(F.count(F.lit(1)).alias("count"), *averages)
 

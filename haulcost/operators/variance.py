@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from haulcost.functions import buckets, classify
-from haulcost.functions.stats import ratio, rounded_money_variance
+from haulcost.functions.stats import mean, ratio, rounded_money_variance
 from haulcost.operators.linehaul import charge_lines, linehaul_of
 
 DESCRIPTION = "accessorial_charge_description"
@@ -270,8 +270,8 @@ def keyword_variance_summary(by_lane: DataFrame, min_loads: int = 1000) -> DataF
         by_lane.where(F.col("acc_loads_per_lane") > min_loads)
         .groupBy("accessorial_charge")
         .agg(
-            F.avg("lh_variance").alias("lh_variance_avg"),
-            F.avg("acc_variance").alias("acc_variance_avg"),
+            mean(F.col("lh_variance").cast("decimal(28,2)")).alias("lh_variance_avg"),
+            mean(F.col("acc_variance").cast("decimal(28,2)")).alias("acc_variance_avg"),
         )
         .withColumn(
             "variance_avg_pct_diff",

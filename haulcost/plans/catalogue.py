@@ -27,9 +27,11 @@ from haulcost.sources.star import star_ledger
 Job = Callable[[DataFrame], DataFrame]
 
 
-def _rounded(frame: DataFrame) -> DataFrame:
+def _rounded(frame: DataFrame, prefix: str = "") -> DataFrame:
     """Doubles to a fixed number of digits, so two engines can be compared."""
-    doubles = [name for name, kind in frame.dtypes if kind == "double"]
+    doubles = [
+        name for name, kind in frame.dtypes if kind == "double" and name.startswith(prefix)
+    ]
     return frame.withColumns({name: F.round(name, p.DIGITS) for name in doubles})
 
 
@@ -154,17 +156,15 @@ JOBS: dict[str, Job] = {
     ),
     "keyword_variance_by_lane": variance.keyword_variance_by_lane,
     "keyword_variance_by_lane_ten": _ten_keywords,
-    "keyword_variance_summary": lambda x: _rounded(
-        variance.keyword_variance_summary(
-            variance.keyword_variance_by_lane(x), p.KEYWORD_LOADS
-        )
+    "keyword_variance_summary": lambda x: variance.keyword_variance_summary(
+        variance.keyword_variance_by_lane(x), p.KEYWORD_LOADS
     ),
     # Fuel charge against fuel surcharge
     "fuel_ledger": lambda x: fuel.fuel_ledger(x, LOAD),
     "fc_fsc_by_loh": lambda x: fuel.fc_fsc_by_loh(x, HAUL),
     "charge_overlap_by_mode": lambda x: fuel.charge_overlap_by_mode(x, OVERLAP),
     "charge_overlap_by_loh": lambda x: fuel.charge_overlap_by_loh(x, OVERLAP),
-    "avg_fuel_charge": lambda x: _rounded(fuel.avg_fuel_charge(x, DRY_VAN)),
+    "avg_fuel_charge": lambda x: fuel.avg_fuel_charge(x, DRY_VAN),
     "avg_fuel_charge_all_modes": lambda x: fuel.avg_fuel_charge(x, MODE, 0),
     "load_fuel_totals": lambda x: fuel.sorted_loads(_loads(x)),
     "both_charge_loads": lambda x: fuel.both_charge_loads(x, DRY_VAN),
@@ -185,7 +185,7 @@ JOBS: dict[str, Job] = {
     "volume_lanes": lambda x: energy.volume_lanes(_plausible(x), p.LANE_SHIPPERS),
     "use_data": _studied,
     "monthly_charges": lambda x: energy.monthly_charges(_studied(x), p.AS_OF),
-    "lane_charge_stats": lambda x: _rounded(_stats(x)),
+    "lane_charge_stats": _stats,
     "charge_stats_rollup": lambda x: energy.charge_stats_rollup(_stats(x)),
     "charge_stats_long": lambda x: energy.charge_stats_long(
         energy.charge_stats_rollup(_stats(x))
@@ -208,8 +208,8 @@ JOBS: dict[str, Job] = {
     "plausible_rates": lambda x: rates.plausible_rates(
         rates.rate_components(x, True, p.SHIP_FROM)
     ),
-    "lane_rate_variance": lambda x: _rounded(_rates(x)),
-    "lane_rate_variance_plain": lambda x: _rounded(_plain_rates(x)),
+    "lane_rate_variance": _rates,
+    "lane_rate_variance_plain": _plain_rates,
     "median_lane_variance_by_mode_loh": lambda x: rates.median_lane_variance_by_mode_loh(
         _rates(x)
     ),
@@ -218,8 +218,10 @@ JOBS: dict[str, Job] = {
     # Fuel projection
     "trip_fuel_cost": projection.trip_fuel_cost,
     "sample_loads": lambda x: projection.sample_loads(_loads(x)),
-    "projected_loads": lambda x: _rounded(_projected(x)),
-    "projected_loads_trimmed": lambda x: _rounded(projection.projected_loads(_loads(x), True)),
+    "projected_loads": lambda x: _rounded(_projected(x), "mid_"),
+    "projected_loads_trimmed": lambda x: _rounded(
+        projection.projected_loads(_loads(x), True), "mid_"
+    ),
     "projection_by_loh": lambda x: _rounded(projection.projection_by_loh(_projected(x))),
     "projection_by_lane": lambda x: _rounded(projection.projection_by_lane(_projected(x))),
     "projection_lane_medians": lambda x: _rounded(

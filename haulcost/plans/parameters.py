@@ -16,4 +16,4 @@ LANE_SHIPPERS = 3
 CARRIER = "CARRIER_3"
 MIXED_LINES = 1
 # Doubles that depend on the order of summation are compared to this many digits.
-DIGITS = 6
+DIGITS = 9
