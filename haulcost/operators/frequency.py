@@ -130,9 +130,11 @@ def ca_charge_words(ledger: DataFrame) -> DataFrame:
 # Characters that join two letters, or two digits, into one word.
 LETTER_JOINTS = "'’."
 DIGIT_JOINTS = "'’.,;"
+# Ends a run of characters that could belong to one word ...
+RUN_BREAK = rf"[^\p{{L}}\p{{M}}\p{{N}}_{DIGIT_JOINTS}]+"
+# ... and a joint inside a run that does not join what stands around it.
 WORD_BREAK = (
-    rf"[^\p{{L}}\p{{M}}\p{{N}}_{DIGIT_JOINTS}]"
-    rf"|(?<![\p{{L}}\p{{M}}\p{{N}}])[{DIGIT_JOINTS}]"
+    rf"(?<![\p{{L}}\p{{M}}\p{{N}}])[{DIGIT_JOINTS}]"
     rf"|(?<=[\p{{L}}\p{{M}}])[{LETTER_JOINTS}](?!\p{{L}})"
     rf"|(?<=[\p{{L}}\p{{M}}])[,;]"
     rf"|(?<=\p{{N}})[{DIGIT_JOINTS}](?!\p{{N}})"
@@ -164,15 +166,26 @@ def word_frequency(texts: DataFrame, column: str, times: str | None = None) -> D
 
     Words are runs of letters, digits and marks. An apostrophe or full stop
     between letters, and also a comma or semicolon between digits, stays inside
-    the word; every other character ends it.
+    the word; every other character ends it. Texts are cut at the plain breaks
+    and the runs counted first; only distinct runs are looked at for joints.
     """
-    words = F.split(F.lower(F.col(column)), WORD_BREAK)
+
+    def pieces(frame: DataFrame, cut: Column) -> DataFrame:
+        return (
+            frame.select(cut.alias("pieces"), "times")
+            .select(F.explode_outer("pieces").alias("word"), "times")
+            .where(F.col("word") != "")
+            .groupBy("word")
+            .agg(F.sum("times").alias("times"))
+        )
+
     occurrences = F.lit(1).cast("bigint") if times is None else F.col(times)
+    runs = pieces(
+        texts.withColumn("times", occurrences), F.split(F.lower(F.col(column)), RUN_BREAK)
+    )
     return (
-        texts.select(words.alias("words"), occurrences.alias("times"))
-        .select(F.explode_outer("words").alias("word"), "times")
+        pieces(runs, F.split("word", WORD_BREAK))
         .where(F.col("word").rlike(r"[\p{L}\p{N}]"))
-        .groupBy("word")
-        .agg(F.sum("times").alias("n"))
+        .withColumnRenamed("times", "n")
         .orderBy(F.desc("n"), "word")
     )
