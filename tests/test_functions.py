@@ -207,6 +207,16 @@ def test_exact_medians_of_small_and_large_groups(spark):
         assert row.n == sum(1 for r in rows if r[0] == group and r[1] is not None)
 
 
+@pytest.mark.parametrize("size", [4_999, 5_000])
+def test_medians_at_the_edge_of_the_sketch(spark, size):
+    draw = random.Random(size)
+    values = [draw.random() for _ in range(size)]
+    frame = spark.createDataFrame([("g", v) for v in values], "g string, x double")
+    frame = frame.repartition(37)
+    row = stats.exact_medians(frame, ["g"], {"x": "m"}).first()
+    assert row.m == statistics.median(values)
+
+
 def cumulative(values, value):
     return sum(1 for v in values if v <= value) / len(values)
 
