@@ -120,6 +120,13 @@ def fuel_ledger(ledger: DataFrame, scope: FuelScope = LOAD_STUDY) -> DataFrame:
     )
 
 
+def _bills_both() -> Column:
+    """True if a group has both charge types; flags are hashed, text would be sorted."""
+    return F.max((F.col("charge_type") == CHARGE).cast("int")) + F.max(
+        (F.col("charge_type") == SURCHARGE).cast("int")
+    ) == F.lit(2)
+
+
 def _of(charge_type: str, value: Column) -> Column:
     return F.when(F.col("charge_type") == charge_type, value)
 
@@ -179,7 +186,7 @@ def _charge_overlap(
         .where(F.col("cass_shipment_id").isNotNull())
         .groupBy("cass_shipment_id")
         .agg(
-            (F.min("charge_type") != F.max("charge_type")).alias("two"),
+            _bills_both().alias("two"),
             F.collect_set(F.struct(F.col(source).alias(key))).alias("at"),
         )
     )
@@ -330,7 +337,7 @@ def _both_type_loads(lines: DataFrame) -> DataFrame:
     """Ids of the loads billed under both fuel charge types."""
     return (
         lines.groupBy("cass_shipment_id")
-        .agg((F.min("charge_type") != F.max("charge_type")).alias("both"))
+        .agg(_bills_both().alias("both"))
         .where("both")
         .select("cass_shipment_id")
     )

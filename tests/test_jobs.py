@@ -503,6 +503,14 @@ def test_regression_equals_least_squares(ledger):
         assert rows[term].estimate == pytest.approx(beta[i])
         assert rows[term].std_error == pytest.approx(errors[i])
         assert rows[term].residual_df == len(y) - 3
+    found = by(clusters.loh_regression_p_values(frame, "FUEL"), "term")
+    df = len(y) - 3
+    grid = np.linspace(0, 400, 2_000_001)
+    density = (1 + grid**2 / df) ** (-(df + 1) / 2)
+    for term, row in rows.items():
+        beyond = density[grid >= abs(row.t_value)].sum() / density.sum()
+        assert found[term].p_value == pytest.approx(beyond, abs=1e-4)
+    assert clusters.loh_regression_p_values(frame, "FUEL TAX").count() == 0
 
 
 def lane_stats(spark, rows=60):
