@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from haulcost.functions import buckets
 from haulcost.functions.stats import exact_medians, mean, ratio, strict, trim_to_quantiles
+from haulcost.sources.scratch import cut_lineage
 
 # Miles per gallon, fuel charge per gallon, fuel cost per gallon.
 MILES_PER_GALLON = (5, 6.5, 8)
@@ -74,7 +75,8 @@ def sample_loads(loads: DataFrame, fraction: float = 1.0, seed: int = 123) -> Da
 def projected_loads(loads: DataFrame, trim: bool = False) -> DataFrame:
     """Loads of one charge type between known regions, with their projected fuel.
 
-    ``trim`` keeps the middle of fuel and total, from the first to the last tenth.
+    ``trim`` keeps the middle of fuel and total, from the first to the last tenth;
+    it reads the loads three times, so they are stored for it.
     """
     chosen = loads.where(
         (F.col("charge_type") != "BOTH")
@@ -82,7 +84,7 @@ def projected_loads(loads: DataFrame, trim: bool = False) -> DataFrame:
         & (F.col("dest_region") != "N/A")
     )
     if trim:
-        chosen = trim_to_quantiles(chosen, ["total_fuel", "amount_paid"])
+        chosen = trim_to_quantiles(cut_lineage(chosen), ["total_fuel", "amount_paid"])
     multipliers = fuel_multipliers()
     distance = F.col("distance")
     per_load = {
