@@ -14,7 +14,6 @@ from pyspark.sql import DataFrame, SparkSession
 #: Spark's own setting: a finished query gives back its shuffle files at once.
 SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
-_stored: dict[int, str] = {}
 _folders: list[str] = []
 
 
@@ -62,7 +61,7 @@ def cut_lineage(frame: DataFrame) -> DataFrame:
     with shuffle_files_released(spark):
         frame.write.parquet(folder)
     stored = spark.read.schema(frame.schema).parquet(folder)
-    _stored[id(stored)] = folder
+    stored._haulcost_folder = folder
     return stored
 
 
@@ -76,7 +75,7 @@ def _delete(spark: SparkSession, folder: str) -> None:
 def release(*frames: DataFrame) -> None:
     """Delete the tables behind frames of :func:`cut_lineage` that nothing reads any more."""
     for frame in frames:
-        folder = _stored.pop(id(frame), None)
+        folder = vars(frame).pop("_haulcost_folder", None)
         if folder:
             _delete(frame.sparkSession, folder)
 
@@ -85,4 +84,3 @@ def release_all(spark: SparkSession) -> None:
     """Delete every intermediate of this process; call it when the results are written."""
     for folder in list(_folders):
         _delete(spark, folder)
-    _stored.clear()
