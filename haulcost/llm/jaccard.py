@@ -285,9 +285,10 @@ def links(documents: DataFrame, sets: DataFrame, classes: DataFrame) -> DataFram
 
 
 def jaccard_components(documents: DataFrame) -> DataFrame:
-    """doc_id, version, n_shingles, class and component_id of every document.
+    """doc_id, version, n_shingles, root and component_id of every document.
 
-    ``version`` is the hash of the text, so that rows which share an id stay apart.
+    ``version`` is the hash of the text, so that rows which share an id stay apart;
+    ``root`` names the component whatever the ids, and is NULL for empty sets.
     """
     statistics = cut_lineage(shingle_statistics(documents))
     bitmap = common_shingles(statistics)
@@ -312,7 +313,7 @@ def jaccard_components(documents: DataFrame) -> DataFrame:
     ids = cut_lineage(
         ids.withColumn("_also", F.hash("root"))
         .join(lowest.withColumn("_also", F.hash("root")).hint("merge"), ["root", "_also"])
-        .select("class", "component_id")
+        .select("class", "root", "component_id")
     )
     slim = sets.select("doc_id", "version", "class", "size").withColumn("_also", F.hash("class"))
     with_words = slim.join(ids.withColumn("_also", F.hash("class")).hint("merge"), ["class", "_also"])
@@ -320,18 +321,40 @@ def jaccard_components(documents: DataFrame) -> DataFrame:
         ~F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
     )
     return with_words.select(
-        "doc_id", "version", F.col("size").cast("long").alias("n_shingles"), "class", "component_id"
+        "doc_id", "version", F.col("size").cast("long").alias("n_shingles"), "root", "component_id"
     ).unionByName(
         empty.select(
             "doc_id",
             "version",
             F.lit(0).cast("long").alias("n_shingles"),
-            F.lit(None).cast("long").alias("class"),
+            F.lit(None).cast("long").alias("root"),
             F.col("doc_id").alias("component_id"),
         )
     )
 
 
+def one_of_each(documents: DataFrame) -> DataFrame:
+    """The documents with one of each component: that with the smallest id.
+
+    Documents without words have no component and stay.
+    """
+    found = jaccard_components(documents)
+    first = (
+        found.filter("root is not null")
+        .groupBy("root")
+        .agg(F.min(F.struct("doc_id", "version")).alias("first"))
+        .select(F.col("first.doc_id").alias("_of"), F.col("first.version").alias("_same"))
+    )
+    wordless = ~F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    chosen = (
+        documents.filter(~wordless)
+        .withColumn("_version", F.xxhash64("text"))
+        .join(first, (F.col("_version") == F.col("_same")) & F.col("doc_id").eqNullSafe(F.col("_of")), "left_semi")
+        .dropDuplicates(["doc_id", "_version"])
+    )
+    return chosen.select(*documents.columns).unionByName(documents.filter(wordless))
+
+
 def op7_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents with the size of their set and their component."""
     found = jaccard_components(spark.read.parquet(f"{sf_dir}/documents.parquet"))

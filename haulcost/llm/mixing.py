@@ -31,9 +31,14 @@ MOST_ROUNDS = 200
 
 
 def sized(documents: DataFrame) -> DataFrame:
-    """doc_id, source and size in words of every document."""
+    """doc_id, version (hash of the text), source and size in words of every document."""
     docs = take(documents, doc_id="doc_id", source="source", text="text")
-    return docs.select("doc_id", "source", F.size(words(F.col("text"))).cast("long").alias("size"))
+    return docs.select(
+        "doc_id",
+        F.xxhash64("text").alias("version"),
+        "source",
+        F.size(words(F.col("text"))).cast("long").alias("size"),
+    )
 
 
 def ranked_weights(sources: DataFrame, weights: tuple[float, ...]) -> DataFrame:
@@ -225,7 +230,7 @@ def copies(rated: DataFrame, cells: DataFrame, rows: int) -> DataFrame:
         .filter("extra > 0")
     )
     place = F.row_number().over(
-        Window.partitionBy("source", "size", "bucket").orderBy(F.xxhash64("doc_id"), "doc_id")
+        Window.partitionBy("source", "size", "bucket").orderBy(F.xxhash64("doc_id"), "doc_id", "version")
     )
     return (
         dealt.withColumn("place", place)
@@ -249,7 +254,7 @@ def copies(rated: DataFrame, cells: DataFrame, rows: int) -> DataFrame:
 def mix(
     documents: DataFrame, weights: tuple[float, ...] = (5, 2, 1), most: float = 3.0
 ) -> DataFrame:
-    """doc_id, source, size, source_size, target, rate and copies of every document."""
+    """doc_id, version, source, size, source_size, target, rate and copies of every document."""
     sizes = cut_lineage(sized(documents))
     histogram = cut_lineage(sizes.groupBy("source", "size").agg(F.count("*").alias("n")))
     sources = histogram.groupBy("source").agg(
@@ -272,6 +277,28 @@ def mix(
     return copies(rates(sizes, state, most), cells, sizes.count())
 
 
+def mixed_documents(documents: DataFrame, **how) -> DataFrame:
+    """The documents of the mix, each as often as it has copies.
+
+    Documents and copies meet by id, source and text; rows repeated entirely add up.
+    """
+    copied = mix(documents, **how).groupBy(
+        F.xxhash64("doc_id", "source", "version").alias("_key"), F.col("doc_id").alias("_of")
+    ).agg(F.sum("copies").alias("_copies"))
+    version = F.xxhash64("text")
+    rows = documents.withColumn("_key", F.xxhash64("doc_id", "source", version)).dropDuplicates(
+        ["_key", "doc_id"]
+    )
+    return (
+        rows.join(
+            copied.filter("_copies > 0").withColumnRenamed("_key", "_same"),
+            (F.col("_key") == F.col("_same")) & F.col("doc_id").eqNullSafe(F.col("_of")),
+        )
+        .withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), "_copies")))
+        .select(*documents.columns)
+    )
+
+
 def op3_mixing(spark, sf_dir: str) -> DataFrame:
     """All documents, mixed: what each gives, in words."""
     mixed = mix(spark.read.parquet(f"{sf_dir}/documents.parquet"))

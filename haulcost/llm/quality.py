@@ -20,6 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from haulcost.llm.words import take
 
@@ -68,22 +69,25 @@ def text_counts(text: str | None) -> tuple[int, int, int, int, int]:
     )
 
 
-def counted(documents: DataFrame) -> DataFrame:
-    """doc_id and the counts of every whole text; nothing is shuffled."""
+def _counts(rows: DataFrame, carried: str) -> DataFrame:
+    """A column of ``rows`` and the counts of their whole ``text``; nothing is shuffled."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [text_counts(x.as_py()) for x in batch.column("text")]
-            columns = list(zip(*rows, strict=True)) or [()] * len(COUNTS)
+            found = [text_counts(x.as_py()) for x in batch.column("text")]
+            columns = list(zip(*found, strict=True)) or [()] * len(COUNTS)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), *[pa.array(c, pa.int64()) for c in columns]],
-                names=["doc_id", *COUNTS],
+                [batch.column(carried), *[pa.array(c, pa.int64()) for c in columns]],
+                names=[carried, *COUNTS],
             )
 
-    docs = take(documents, doc_id="doc_id", text="text")
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    schema = ", ".join([f"doc_id {kind}", *[f"{x} long" for x in COUNTS]])
-    return docs.mapInArrow(count, schema)
+    counts = [StructField(name, LongType()) for name in COUNTS]
+    return rows.mapInArrow(count, StructType([rows.schema[carried], *counts]))
+
+
+def counted(documents: DataFrame) -> DataFrame:
+    """doc_id and the counts of every document."""
+    return _counts(take(documents, doc_id="doc_id", text="text"), "doc_id")
 
 
 def base_failed() -> Column:
@@ -259,6 +263,12 @@ def judged(documents: DataFrame, rules: list[Rule]) -> DataFrame:
     )
 
 
+def kept_documents(documents: DataFrame, rules: list[Rule]) -> DataFrame:
+    """The documents that the base rules and the list keep, as they are."""
+    rows = documents.select(F.struct("*").alias("row"), "text")
+    return _counts(rows, "row").filter(verdict(rules)).select("row.*")
+
+
 def op4_quality_rules(spark, sf_dir: str) -> DataFrame:
     """All documents, judged by a list learned from the labels."""
     documents = spark.read.parquet(f"{sf_dir}/documents.parquet")
