@@ -12,10 +12,13 @@ is at least 0.8. Equal sets are one class from the start.
 * The boundary between small and large minimises the estimated work: subsets to
   emit against lists to scan, over the sizes that the corpus has.
 
-A list is not expanded into all its pairs. Its members are first compared with
-its lowest and highest one; verified links form components. Only members of one
-list that are then still in different components are compared with each other,
-until nothing is left, so no link between different sets is lost.
+A pair only counts at a key if, were this the first shingle that both sets share,
+enough could still follow: both must have it early enough for their sizes.
+
+A list is not expanded into all its pairs. Its members are first compared with a
+few of them; verified links form components. Only members of one list that are
+then still in different components are compared with each other, until nothing is
+left, so no link between different sets is lost.
 
 Defined cases: NULL or empty texts, and texts without words, have an empty set and
 link with nothing; a text with fewer than five words is one shingle; NULL ids are
@@ -43,8 +46,16 @@ from haulcost.sources.scratch import cut_lineage, release
 COMMON = 12
 #: Bits that remember which shingles are common; too few make lists longer, never results wrong.
 COMMON_BITS = 1 << 24
-#: Share of a document's shingles, in hash order, that is searched for common ones.
-SEARCHED = 0.35
+#: Share of a document's shingles, in hash order, that is searched for common ones. Sets
+#: that link share one of their first ninth, so this is enough for documents of which at most
+#: half is common. Documents with a larger share of common ones are searched whole.
+SEARCHED = 0.25
+MOSTLY = 0.5
+#: Members of a list that all others are compared with, and rounds of that for long lists.
+PIVOTS = 3
+PIVOT_ROUNDS = 3
+#: Lists with more members than this are compared with pivots again before pair by pair.
+LONG_LIST = 64
 #: Sizes that the boundary is chosen among.
 MOST_SMALL = 24
 
@@ -94,7 +105,7 @@ def subset_keys(hashes: np.ndarray, boundary: int) -> list[int]:
 
 
 def _texts(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray]]:
-    for i, x in enumerate(batch.column("text")):
+    for i, x in enumerate(batch.column("text").cast(pa.binary())):
         yield i, shingles(x.as_py())
 
 
@@ -102,15 +113,30 @@ def _documents(documents: DataFrame) -> DataFrame:
     return take(documents, doc_id="doc_id", text="text").withColumn("version", F.xxhash64("text"))
 
 
-def shingle_statistics(documents: DataFrame) -> DataFrame:
-    """Counts over all documents: (kind, key, n) with kind 0 a folded shingle, 1 a set size."""
+def _is_common(h: np.ndarray, bitmap: np.ndarray) -> np.ndarray:
+    at = (h & np.uint64(COMMON_BITS - 1)).astype(np.int64)
+    return (bitmap[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
+
+
+def shingle_statistics(documents: DataFrame, bitmap: np.ndarray | None = None) -> DataFrame:
+    """Counts over all documents: (kind, key, n) with kind 0 a folded shingle, 1 a set size.
+
+    With a bitmap of common shingles, the rest of the shingles of the documents that
+    mostly consist of those; they repeat each other, so counts of a batch are few.
+    """
+    shared = documents.sparkSession.sparkContext.broadcast(bitmap)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = shared.value
         for batch in batches:
             found, sizes = [np.empty(0, np.uint32)], []
             for _, h in _texts(batch):
-                sizes.append(min(len(h), MOST_SMALL + 1))
-                found.append(h[: int(len(h) * SEARCHED) + 1].astype(np.uint32))
+                searched = int(len(h) * SEARCHED) + 1
+                if known is None:
+                    sizes.append(min(len(h), MOST_SMALL + 1))
+                    found.append(h[:searched].astype(np.uint32))
+                elif len(h) and _is_common(h[:searched], known).mean() > MOSTLY:
+                    found.append(h[searched:].astype(np.uint32))
             for kind, values in ((0, np.concatenate(found)), (1, np.array(sizes, np.uint32))):
                 key, n = np.unique(values, return_counts=True)
                 yield pa.RecordBatch.from_arrays(
@@ -143,31 +169,33 @@ def common_shingles(statistics: DataFrame) -> np.ndarray:
 
 
 def keyed_sets(documents: DataFrame, bitmap: np.ndarray, boundary: int) -> DataFrame:
-    """doc_id, version, class, size and keys of every document with words."""
+    """doc_id, version, class, size, first shingles and subsets of every document with words."""
     spark = documents.sparkSession
     shared = spark.sparkContext.broadcast(bitmap)
 
-    def keys(h: np.ndarray) -> np.ndarray:
+    def first(h: np.ndarray) -> np.ndarray:
         n = len(h)
-        small = np.array(subset_keys(h, boundary) if n <= boundary else [], np.int64)
-        if n <= boundary and 5 * n // 4 <= boundary:
-            return small  # no large set can be its partner
-        at = (h & np.uint64(COMMON_BITS - 1)).astype(np.int64)
-        common = (shared.value[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
-        order = np.concatenate([h[~common], h[common]])
-        return np.concatenate([small, order[: prefix_length(n)].view(np.int64)])
+        if 5 * n // 4 <= boundary:
+            return h[:0]  # no large set can be its partner
+        common = _is_common(h, shared.value)
+        return np.concatenate([h[~common], h[common]])[: prefix_length(n)]
+
+    def lists(rows: list[np.ndarray]) -> pa.ListArray:
+        ends = np.concatenate([[0], np.cumsum([len(x) for x in rows])]).astype(np.int32)
+        values = np.concatenate(rows) if rows else np.empty(0, np.int64)
+        return pa.ListArray.from_arrays(pa.array(ends), pa.array(values.view(np.int64), pa.int64()))
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows, classes, sizes, found = [], [], [], []
+            rows, classes, sizes, prefixes, subsets = [], [], [], [], []
             for i, h in _texts(batch):
                 if len(h):
                     rows.append(i)
                     classes.append(set_hash(h))
                     sizes.append(len(h))
-                    found.append(keys(h))
-            ends = np.concatenate([[0], np.cumsum([len(x) for x in found])]).astype(np.int32)
-            values = np.concatenate(found) if found else np.empty(0, np.int64)
+                    prefixes.append(first(h))
+                    small = subset_keys(h, boundary) if len(h) <= boundary else []
+                    subsets.append(np.array(small, np.int64))
             at = pa.array(rows, pa.int32())
             yield pa.RecordBatch.from_arrays(
                 [
@@ -175,15 +203,16 @@ def keyed_sets(documents: DataFrame, bitmap: np.ndarray, boundary: int) -> DataF
                     batch.column("version").take(at),
                     pa.array(classes, pa.int64()),
                     pa.array(sizes, pa.int32()),
-                    pa.ListArray.from_arrays(pa.array(ends), pa.array(values, pa.int64())),
+                    lists(prefixes),
+                    lists(subsets),
                 ],
-                names=["doc_id", "version", "class", "size", "keys"],
+                names=["doc_id", "version", "class", "size", "prefix", "subsets"],
             )
 
     docs = _documents(documents)
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.mapInArrow(
-        emit, f"doc_id {kind}, version long, class long, size int, keys array<long>"
+        emit, f"doc_id {kind}, version long, class long, size int, prefix array<long>, subsets array<long>"
     )
 
 
@@ -213,6 +242,7 @@ def linked(pairs: DataFrame, classes: DataFrame, documents: DataFrame) -> DataFr
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last: dict[int, np.ndarray] = {}
         for batch in batches:
+            texts = {c: batch.column(c).cast(pa.binary()) for c in ("a_text", "b_text")}
             a, b = batch.column("a").to_pylist(), batch.column("b").to_pylist()
             good = []
             for i, (x, y) in enumerate(zip(a, b, strict=True)):
@@ -221,7 +251,7 @@ def linked(pairs: DataFrame, classes: DataFrame, documents: DataFrame) -> DataFr
                     if key not in last:
                         if len(last) > 64:
                             last.clear()
-                        last[key] = shingles(batch.column(column)[i].as_py())
+                        last[key] = shingles(texts[column][i].as_py())
                     sets.append(last[key])
                 if 9 * overlap(*sets) >= 4 * (len(sets[0]) + len(sets[1])):
                     good.append(i)
@@ -235,53 +265,106 @@ def linked(pairs: DataFrame, classes: DataFrame, documents: DataFrame) -> DataFr
     return found
 
 
-def _ordered(x: str, y: str) -> list:
-    return [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
-
-
 def shared_keys(sets: DataFrame) -> DataFrame:
-    """(key, class, low, high): members of keys that more than one class has."""
-    members = sets.select(F.explode("keys").alias("key"), "class")
-    ends = (
-        members.groupBy("key")
-        .agg(F.min("class").alias("low"), F.max("class").alias("high"))
-        .filter("low < high")
-    )
-    return members.withColumn("_also", F.hash("key")).join(
-        ends.withColumn("_also", F.hash("key")).hint("merge"), ["key", "_also"]
-    ).select("key", "class", "low", "high")
+    """(key, class, size, rank) of the members of keys that more than one class has.
 
-
-def links(documents: DataFrame, sets: DataFrame, classes: DataFrame) -> DataFrame:
-    """(class, root) of every class that links with another."""
-    members = cut_lineage(shared_keys(sets).distinct())
-    ends = members.select("class", F.explode(F.array("low", "high")).alias("end"))
-    tried = cut_lineage(ends.filter("class <> end").select(*_ordered("class", "end")).distinct())
-    found = linked(tried, classes, documents)
-    roots = cut_lineage(components(found))
-    # What the ends have not brought together: members of one list in different components.
-    placed = members.join(
-        roots.select(F.col("node").alias("class"), "root").hint("merge"), "class", "left"
-    ).select("key", "class", F.coalesce("root", "class").alias("root"))
-    placed = cut_lineage(placed)
-    mixed = (
-        placed.groupBy("key")
-        .agg(F.min("root").alias("_low"), F.max("root").alias("_high"))
+    ``rank`` is the key's place in the set's order. A subset counts as a first one.
+    """
+    members = sets.select(
+        "class", "size", F.posexplode("prefix").alias("rank", "key")
+    ).unionByName(sets.select("class", "size", F.lit(0).alias("rank"), F.explode("subsets").alias("key")))
+    several = (
+        members.groupBy("key")
+        .agg(F.min("class").alias("_low"), F.max("class").alias("_high"))
         .filter("_low < _high")
-        .select("key")
     )
-    apart = cut_lineage(placed.join(mixed, "key", "left_semi"))
-    other = apart.select("key", F.col("class").alias("other"), F.col("root").alias("other_root"))
-    rest = (
-        apart.join(other, "key")
-        .filter("class < other and root <> other_root")
-        .select(F.col("class").alias("a"), F.col("other").alias("b"))
+    also = F.hash("key").alias("_also")
+    return (
+        members.select("*", also)
+        .join(several.select("key", also).hint("merge"), ["key", "_also"], "left_semi")
+        .select("key", "class", "size", "rank")
         .distinct()
-        .join(tried, ["a", "b"], "left_anti")
     )
-    more = linked(rest, classes, documents)
-    release(members, placed, apart, tried, roots)
-    return cut_lineage(components(found.unionByName(more)))
+
+
+def _possible() -> str:
+    """SQL: sizes fit, and as much can follow this key in both sets as a link needs."""
+    need = "(4 * (l.size + r.size) + 8) div 9"
+    return (
+        "5 * least(l.size, r.size) >= 4 * greatest(l.size, r.size)"
+        f" and l.rank <= l.size - {need} and r.rank <= r.size - {need} and l.root <> r.root"
+    )
+
+
+def _pivots(lists: DataFrame, round_: int) -> DataFrame:
+    """A few members of each list: the lowest after flipping some bits of the class.
+
+    At first the same bits everywhere, so that lists of the same members agree and
+    few pairs arise; later bits of the list's own, so that a member whose lists are
+    long meets many different ones.
+    """
+    lowest = []
+    for k in range(PIVOTS):
+        number = F.lit(round_ * PIVOTS + k).cast("long")
+        flip = F.xxhash64(number) if round_ == 0 else F.xxhash64(number, "key")
+        lowest.append(F.min(F.col("class").bitwiseXOR(flip)).bitwiseXOR(flip))
+    chosen = lists.groupBy("key").agg(F.array_distinct(F.array(*lowest)).alias("_chosen"))
+    return lists.join(chosen.select("key", F.explode("_chosen").alias("class")), ["key", "class"])
+
+
+def links(documents: DataFrame, sets: DataFrame, classes: DataFrame) -> DataFrame:
+    """(node, root) of every class that links with another.
+
+    Rounds compare the members of lists that are still in different components:
+    with a few of their list first, and again while such lists are long, then each
+    with each. The last round leaves no possible pair untried.
+    """
+    spark = documents.sparkSession
+    lists = cut_lineage(shared_keys(sets).withColumn("root", F.col("class")))
+    members = lists.drop("root")
+    tried = found = roots = None
+    round_ = 0
+    while True:
+        open_ = lists.groupBy("key").agg(
+            F.min("root").alias("_low"), F.max("root").alias("_high"), F.count("*").alias("_n")
+        ).filter("_low < _high")
+        longest = open_.agg(F.max("_n")).first()[0]
+        if longest is None:
+            break
+        also = F.hash("key").alias("_also")
+        left = cut_lineage(
+            lists.select("*", also).join(open_.select("key", also).hint("merge"), ["key", "_also"], "left_semi")
+        )
+        last = round_ > 0 and (round_ >= PIVOT_ROUNDS or longest <= LONG_LIST)
+        right = left if last else _pivots(left, round_)
+        pairs = (
+            left.alias("l")
+            .join(right.alias("r").hint("merge"), ["key", "_also"])
+            .filter(_possible())
+            .select(
+                F.least("l.class", "r.class").alias("a"), F.greatest("l.class", "r.class").alias("b")
+            )
+            .distinct()
+        )
+        if tried is not None:
+            pairs = pairs.join(tried, ["a", "b"], "left_anti")
+        pairs = cut_lineage(pairs)
+        good = linked(pairs, classes, documents)
+        found = good if found is None else found.unionByName(good)
+        tried = pairs if tried is None else tried.unionByName(pairs)
+        roots = cut_lineage(components(found))
+        release(left)
+        if last:
+            break
+        lists = cut_lineage(
+            members.join(
+                roots.select(F.col("node").alias("class"), "root").hint("merge"), "class", "left"
+            ).withColumn("root", F.coalesce("root", "class"))
+        )
+        round_ += 1
+    if roots is None:
+        return spark.createDataFrame([], "node long, root long")
+    return roots
 
 
 def jaccard_components(documents: DataFrame) -> DataFrame:
@@ -296,6 +379,7 @@ def jaccard_components(documents: DataFrame) -> DataFrame:
     total = rare.agg(F.sum(F.col("n") * F.col("n")).alias("pairs"), F.sum("n").alias("rows")).first()
     sizes = {r.key: r.n for r in statistics.filter("kind = 1 and key > 0").collect()}
     release(statistics)
+    bitmap |= common_shingles(shingle_statistics(documents, bitmap))
     boundary = boundary_by_cost(sizes, 1 + (total.pairs or 0) / max(total.rows or 0, 1))
     sets = cut_lineage(keyed_sets(documents, bitmap, boundary))
     place = F.min(F.struct("doc_id", "version"))

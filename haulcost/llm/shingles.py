@@ -7,20 +7,10 @@ import xxhash
 
 #: Words in a shingle.
 SHINGLE = 5
-#: Words whose hash a worker remembers.
-REMEMBERED = 500_000
-_FACTOR = np.uint64(0x9E3779B97F4A7C15)
-
-
-class _WordHashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= REMEMBERED:
-            self.clear()
-        value = self[word] = xxhash.xxh3_64_intdigest(word)
-        return value
-
-
-_hashes = _WordHashes()
+#: Bytes of a text whose words are hashed at once.
+BLOCK = 1 << 20
+_BASE = np.uint64(0x9E3779B97F4A7C15)
+_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -29,7 +19,62 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-def shingles(text: str | None) -> np.ndarray:
+def _byte_values() -> np.ndarray:
+    """A random-looking number per byte, the same for A-Z and a-z, and 0 for white space."""
+    values = _mixed(np.arange(1, 257, dtype=np.uint64) * _BASE)
+    values[ord("A") : ord("Z") + 1] = values[ord("a") : ord("z") + 1]
+    values[_white()] = 0
+    return values
+
+
+def _white() -> list[int]:
+    return [32, *range(9, 14)]
+
+
+_VALUES = _byte_values()
+_IS_WORD = ~np.isin(np.arange(256), _white())
+_powers = np.ones(1, np.uint64)
+_inverses = np.ones(1, np.uint64)
+
+
+def _raised(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The base's powers and their inverses modulo 2^64, at least n of each."""
+    global _powers, _inverses
+    if len(_powers) < n:
+        n = min(BLOCK, 2 * n) if n <= BLOCK else n
+        _powers = np.multiply.accumulate(np.concatenate([[np.uint64(1)], np.full(n, _BASE)]))
+        _inverses = np.multiply.accumulate(np.concatenate([[np.uint64(1)], np.full(n, _INVERSE)]))
+    return _powers, _inverses
+
+
+def _word_hashes(data: np.ndarray) -> np.ndarray:
+    """A hash of each word of the bytes: a polynomial in its bytes, by differences of sums."""
+    inside = _IS_WORD[data]
+    edges = np.flatnonzero(np.diff(np.concatenate([[False], inside, [False]]).view(np.int8)))
+    starts, ends = edges[::2], edges[1::2]
+    powers, inverses = _raised(len(data))
+    sums = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum(_VALUES[data] * powers[: len(data)], out=sums[1:])
+    return (sums[ends] - sums[starts]) * inverses[starts] + (ends - starts).astype(np.uint64)
+
+
+def word_hashes(text: bytes) -> np.ndarray:
+    """A hash per word of a UTF-8 text, A-Z lower-cased; long texts in blocks between words."""
+    parts, start = [], 0
+    while start < len(text):
+        end = start + BLOCK
+        if end < len(text):
+            space = max(text.rfind(bytes([w]), start, end) for w in _white())
+            if space <= start:  # one word is longer than a block
+                found = [x for w in _white() if (x := text.find(bytes([w]), start + 1)) >= 0]
+                space = min(found, default=len(text))
+            end = space
+        parts.append(_word_hashes(np.frombuffer(text[start:end], np.uint8)))
+        start = end
+    return np.concatenate(parts) if parts else np.empty(0, np.uint64)
+
+
+def shingles(text: bytes | str | None) -> np.ndarray:
     """Distinct shingles of a text, A-Z lower-cased, as sorted unsigned hashes.
 
     A text with fewer words than a shingle gives its whole sequence as one; a text
@@ -37,14 +82,13 @@ def shingles(text: str | None) -> np.ndarray:
     """
     if not text:
         return np.empty(0, np.uint64)
-    words = text.encode("utf-8", "surrogatepass").lower().split()
-    if not words:
-        return np.empty(0, np.uint64)
-    h = np.fromiter((_hashes[w] for w in words), np.uint64, len(words))
+    h = _mixed(word_hashes(text.encode("utf-8", "surrogatepass") if isinstance(text, str) else text))
+    if not len(h):
+        return h
     width = min(SHINGLE, len(h))
     total = np.full(len(h) - width + 1, width, np.uint64)
     for k in range(width):
-        total = total * _FACTOR + h[k : k + len(total)]
+        total = total * _BASE + h[k : k + len(total)]
     return np.unique(_mixed(total))
 
 
@@ -55,4 +99,6 @@ def set_hash(sorted_hashes: np.ndarray) -> int:
 
 
 def overlap(a: np.ndarray, b: np.ndarray) -> int:
-    return len(a) + len(b) - len(np.union1d(a, b))
+    both = np.concatenate([a, b])
+    both.sort(kind="stable")
+    return int((both[1:] == both[:-1]).sum())
