@@ -429,14 +429,21 @@ def one_of_each(documents: DataFrame) -> DataFrame:
         .agg(F.min(F.struct("doc_id", "version")).alias("first"))
         .select(F.col("first.doc_id").alias("_of"), F.col("first.version").alias("_same"))
     )
-    wordless = ~F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    # Rows travel as one column, so that no name of theirs meets a name used here.
+    rows = documents.select(F.struct("*").alias("_row"))
+    wordless = ~F.coalesce(F.col("_row.text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
     chosen = (
-        documents.filter(~wordless)
-        .withColumn("_version", F.xxhash64("text"))
-        .join(first, (F.col("_version") == F.col("_same")) & F.col("doc_id").eqNullSafe(F.col("_of")), "left_semi")
-        .dropDuplicates(["doc_id", "_version"])
+        rows.filter(~wordless)
+        .withColumn("_version", F.xxhash64("_row.text"))
+        .withColumn("_id", F.col("_row.doc_id"))
+        .join(
+            first,
+            (F.col("_version") == F.col("_same")) & F.col("_id").eqNullSafe(F.col("_of")),
+            "left_semi",
+        )
+        .dropDuplicates(["_id", "_version"])
     )
-    return chosen.select(*documents.columns).unionByName(documents.filter(wordless))
+    return chosen.select("_row.*").unionByName(rows.filter(wordless).select("_row.*"))
 
 
 def op7_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

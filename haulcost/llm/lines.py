@@ -228,13 +228,17 @@ def deduped(documents: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     Adds ``_compared`` and ``_gone``; all columns of ``documents`` stay.
     """
     kept = kept_places(documents, min_words)
-    keyed = documents.withColumn(
-        "_doc", F.coalesce(F.col("doc_id").cast("long"), F.lit(_NULL_ID))
-    ).withColumn("_version", F.xxhash64("text"))
-    kept = kept.select(F.col("doc").alias("_doc"), F.col("version").alias("_version"), "flags")
-    joined = keyed.join(kept.withColumnRenamed("flags", "_flags"), ["_doc", "_version"], "left")
+    # Rows travel as one column, so that no name of theirs meets a name used here.
+    keyed = (
+        documents.select(F.struct("*").alias("_row"))
+        .withColumn("_doc", F.coalesce(F.col("_row.doc_id").cast("long"), F.lit(_NULL_ID)))
+        .withColumn("_version", F.xxhash64("_row.text"))
+    )
+    kept = kept.select(
+        F.col("doc").alias("_doc"), F.col("version").alias("_version"), F.col("flags").alias("_flags")
+    )
     judged = F.transform(
-        F.split("text", "\n"),
+        F.split("_row.text", "\n"),
         lambda line, at: F.struct(
             line.alias("line"),
             _long_enough(line, min_words).alias("compared"),
@@ -245,13 +249,17 @@ def deduped(documents: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
         "filter(_lines, x -> not x.compared"
         " or coalesce(substring(_flags, x.at + 1, 1) = X'31', false))"
     )
+    text = F.when(F.col("_row.text").isNotNull(), F.array_join("_staying.line", "\n"))
     return (
-        joined.withColumn("_lines", judged)
+        keyed.join(kept, ["_doc", "_version"], "left")
+        .withColumn("_lines", judged)
         .withColumn("_staying", staying)
-        .withColumn("text", F.when(F.col("text").isNotNull(), F.array_join("_staying.line", "\n")))
-        .withColumn("_compared", F.coalesce(F.expr("size(filter(_lines, x -> x.compared))"), F.lit(0)))
-        .withColumn("_gone", F.coalesce(F.size("_lines") - F.size("_staying"), F.lit(0)))
-        .select(*documents.columns, "_compared", "_gone")
+        .select(
+            F.col("_row").withField("text", text).alias("_row"),
+            F.coalesce(F.expr("size(filter(_lines, x -> x.compared))"), F.lit(0)).alias("_compared"),
+            F.coalesce(F.size("_lines") - F.size("_staying"), F.lit(0)).alias("_gone"),
+        )
+        .select("_row.*", "_compared", "_gone")
     )
 
 

@@ -285,17 +285,21 @@ def mixed_documents(documents: DataFrame, **how) -> DataFrame:
     copied = mix(documents, **how).groupBy(
         F.xxhash64("doc_id", "source", "version").alias("_key"), F.col("doc_id").alias("_of")
     ).agg(F.sum("copies").alias("_copies"))
-    version = F.xxhash64("text")
-    rows = documents.withColumn("_key", F.xxhash64("doc_id", "source", version)).dropDuplicates(
-        ["_key", "doc_id"]
+    # Rows travel as one column, so that no name of theirs meets a name used here.
+    version = F.xxhash64("_row.text")
+    rows = (
+        documents.select(F.struct("*").alias("_row"))
+        .withColumn("_key", F.xxhash64("_row.doc_id", "_row.source", version))
+        .withColumn("_id", F.col("_row.doc_id"))
+        .dropDuplicates(["_key", "_id"])
     )
     return (
         rows.join(
             copied.filter("_copies > 0").withColumnRenamed("_key", "_same"),
-            (F.col("_key") == F.col("_same")) & F.col("doc_id").eqNullSafe(F.col("_of")),
+            (F.col("_key") == F.col("_same")) & F.col("_id").eqNullSafe(F.col("_of")),
         )
-        .withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), "_copies")))
-        .select(*documents.columns)
+        .select("_row", F.explode(F.sequence(F.lit(1).cast("long"), "_copies")))
+        .select("_row.*")
     )
 
 

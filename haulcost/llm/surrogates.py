@@ -263,13 +263,15 @@ def with_surrogates(documents: DataFrame, key: str) -> DataFrame:
     replacements. An entity that very many documents hold is a hot key of a join
     that Spark can split.
     """
-    keyed = documents.withColumn("_version", F.xxhash64("text"))
+    # Rows travel as one column, so that no name of theirs meets a name used here.
+    keyed = documents.select(F.struct("*").alias("_row")).withColumn(
+        "_version", F.xxhash64("_row.text")
+    )
+    texts = keyed.select(
+        F.col("_row.doc_id").alias("doc"), F.col("_version").alias("version"), F.col("_row.text").alias("text")
+    )
     places = cut_lineage(
-        found(
-            take(keyed, doc="doc_id", version="_version", text="text").filter(
-                F.col("text").rlike(r"[0-9@]|\p{Lu}\p{L}+ \p{Lu}")
-            )
-        ).distinct()
+        found(texts.filter(F.col("text").rlike(r"[0-9@]|\p{Lu}\p{L}+ \p{Lu}"))).distinct()
     )
     names = assigned(places.select("kind", "normal").distinct(), key)
     also = F.hash("kind", "normal")
@@ -282,24 +284,24 @@ def with_surrogates(documents: DataFrame, key: str) -> DataFrame:
     )
     joined = keyed.join(
         per_document,
-        F.col("doc_id").eqNullSafe(F.col("doc")) & (F.col("_version") == F.col("version")),
+        F.col("_row.doc_id").eqNullSafe(F.col("doc")) & (F.col("_version") == F.col("version")),
         "left",
     )
-    between = F.split("text", ANY, -1)
-    matches = F.regexp_extract_all("text", F.lit(ANY), F.lit(0))
+    text = F.col("_row.text")
     rebuilt = F.array_join(
         F.zip_with(
-            between,
-            matches,
-            lambda text, match: F.concat(
-                text, F.coalesce(F.element_at(F.col("_by"), match), match, F.lit(""))
+            F.split(text, ANY, -1),
+            F.regexp_extract_all(text, F.lit(ANY), F.lit(0)),
+            lambda between, match: F.concat(
+                between, F.coalesce(F.element_at(F.col("_by"), match), match, F.lit(""))
             ),
         ),
         "",
     )
-    return joined.withColumn(
-        "text", F.when(F.col("_by").isNull(), F.col("text")).otherwise(rebuilt)
-    ).select(*documents.columns, F.coalesce(F.size("_by"), F.lit(0)).alias("_entities"))
+    changed = F.col("_row").withField("text", F.when(F.col("_by").isNull(), text).otherwise(rebuilt))
+    return joined.select(
+        changed.alias("_row"), F.coalesce(F.size("_by"), F.lit(0)).alias("_entities")
+    ).select("_row.*", "_entities")
 
 
 def op2_pii_surrogates(spark, sf_dir: str, key: str = "surrogates-1") -> DataFrame:

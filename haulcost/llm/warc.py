@@ -152,7 +152,7 @@ class WarcReader(DataSourceReader):
                 held, size = [], 0
             held.append(path)
             size += bytes_
-        return [*groups, Archives(tuple(held))] if held else groups
+        return [*groups, Archives(tuple(held))]  # without files, one partition that reads none
 
     def _wanted(self, row: dict) -> bool:
         for name, kind, values in self.tests:
