@@ -199,7 +199,7 @@ def trim_to_quantiles(
     The cumulative distribution of a value is the share of non-missing values
     that do not exceed it. Asking for at least ``lower`` and at most ``upper``
     is the same as comparing with two order statistics, so no global sort of
-    the rows is needed. Rows with a missing value are dropped.
+    the rows is needed. Rows with a missing value are dropped; 0 and 1 are no bounds.
     """
     lo, hi = float(lower), float(upper)
     points = [max(lo - SLACK, 0.0), lo + SLACK, hi - SLACK, min(hi + SLACK, 1.0)]
@@ -242,6 +242,11 @@ def trim_to_quantiles(
     )
     inside = reduce(
         lambda a, b: a & b,
-        [(F.col(c) >= F.col(f"_from_{c}")) & (F.col(c) < F.col(f"_below_{c}")) for c in columns],
+        [
+            F.col(c).isNotNull()
+            & (F.col(f"_from_{c}").isNull() | (F.col(c) >= F.col(f"_from_{c}")))
+            & (F.col(f"_below_{c}").isNull() | (F.col(c) < F.col(f"_below_{c}")))
+            for c in columns
+        ],
     )
     return frame.crossJoin(F.broadcast(bounds)).where(inside).select(frame.columns)

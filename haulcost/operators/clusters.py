@@ -15,22 +15,32 @@ from pyspark.sql import functions as F
 from haulcost.operators.energy import AMOUNT, FUEL_PAIR, LANE_KEYS, SCALED, TYPE
 from haulcost.sources.scratch import cut_lineage
 
+#: Rounds of a fit unless asked otherwise; more change nothing once a fit has converged.
 ROUNDS = 10
 FITS_AT_ONCE = 4
 
 
 def fuel_features(scaled: DataFrame) -> DataFrame:
-    """Feature vectors of the two fuel types, stored because every fit reads them."""
+    """Feature vectors of the two fuel types, stored because every fit reads them.
+
+    A measure that does not vary has no z-score; it counts as 0, the mean, and no
+    row is dropped for it.
+    """
     pair = scaled.where(F.col(TYPE).isin(FUEL_PAIR))
-    assembler = VectorAssembler(inputCols=SCALED, outputCol="features", handleInvalid="skip")
-    return cut_lineage(assembler.transform(pair))
+    known = [F.coalesce(F.col(name), F.lit(0.0)).alias(f"_{name}") for name in SCALED]
+    assembler = VectorAssembler(
+        inputCols=[f"_{name}" for name in SCALED], outputCol="features", handleInvalid="error"
+    )
+    return cut_lineage(assembler.transform(pair.select("*", *known)).select(*pair.columns, "features"))
 
 
-def _fit(features: DataFrame, k: int, seed: int) -> KMeansModel:
-    return KMeans(k=k, seed=seed, maxIter=ROUNDS).fit(features)
+def _fit(features: DataFrame, k: int, seed: int, rounds: int) -> KMeansModel:
+    return KMeans(k=k, seed=seed, maxIter=rounds).fit(features)
 
 
-def kmeans_elbow(features: DataFrame, max_k: int = 15, seed: int = 123) -> DataFrame:
+def kmeans_elbow(
+    features: DataFrame, max_k: int = 15, seed: int = 123, rounds: int = ROUNDS
+) -> DataFrame:
     """Sum of squares within clusters for 1 to ``max_k`` clusters."""
     spark = features.sparkSession
     schema = "k int, within_ss double"
@@ -42,14 +52,16 @@ def kmeans_elbow(features: DataFrame, max_k: int = 15, seed: int = 123) -> DataF
     )
 
     def cost(k: int) -> tuple[int, float]:
-        return k, float(_fit(features, k, seed).summary.trainingCost)
+        return k, float(_fit(features, k, seed, rounds).summary.trainingCost)
 
     with ThreadPool(FITS_AT_ONCE) as pool:
         costs = pool.map(inheritable_thread_target(spark)(cost), range(2, max_k + 1))
     return whole.unionByName(spark.createDataFrame(costs, schema)).orderBy("k")
 
 
-def kmeans_clusters(features: DataFrame, k: int = 4, seed: int = 123) -> DataFrame:
+def kmeans_clusters(
+    features: DataFrame, k: int = 4, seed: int = 123, rounds: int = ROUNDS
+) -> DataFrame:
     """Cluster of each lane, and its place on the first two principal components."""
     if features.isEmpty():
         return features.select(
@@ -58,7 +70,7 @@ def kmeans_clusters(features: DataFrame, k: int = 4, seed: int = 123) -> DataFra
             F.lit(0.0).alias("pc1"),
             F.lit(0.0).alias("pc2"),
         )
-    clustered = _fit(features, k, seed).transform(features)
+    clustered = _fit(features, k, seed, rounds).transform(features)
     centre = StandardScaler(
         inputCol="features", outputCol="centred", withMean=True, withStd=False
     ).fit(features)

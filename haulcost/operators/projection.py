@@ -67,9 +67,8 @@ def sample_loads(loads: DataFrame, fraction: float = 1.0, seed: int = 123) -> Da
     """
     if fraction >= 1:
         return loads
-    steps = 1_000_000
-    draw = F.pmod(F.xxhash64(F.lit(seed), F.col("cass_shipment_id")), F.lit(steps))
-    return loads.where(draw < int(fraction * steps))
+    draw = F.xxhash64(F.lit(seed), F.col("cass_shipment_id"))
+    return loads.where(draw < int(fraction * 2**64) - 2**63)
 
 
 def projected_loads(loads: DataFrame, trim: bool = False) -> DataFrame:

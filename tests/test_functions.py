@@ -240,3 +240,9 @@ def test_trim_equals_cumulative_distribution(spark, size):
         if 0.1 <= share_x[x] <= 0.9 and y is not None and 0.1 <= rank_y[y] <= 0.9
     }
     assert kept == expected
+
+
+def test_trim_bounds_of_zero_and_one_keep_all_but_missing_rows(spark):
+    frame = spark.createDataFrame([(i, float(i)) for i in range(100)] + [(100, None)], "i int, x double")
+    assert stats.trim_to_quantiles(frame, ["x"], "0", "1").count() == 100
+    assert {r.i for r in stats.trim_to_quantiles(frame, ["x"], "0", "0.9").collect()} == set(range(90))

@@ -717,3 +717,21 @@ def test_shipper_questions(ledger):
     assert {(r.accessorial_charge_keyword, r.lines) for r in lanes.collect()} == {
         ("BASE", 1), ("TOLL", 1), ("FUEL", 2),
     }
+
+
+def test_a_small_fraction_still_draws(spark):
+    loads = spark.range(3_000_000).select(F.col("id").cast("string").alias("cass_shipment_id"))
+    drawn = projection.sample_loads(loads, 4e-6, 1).count()
+    assert 1 <= drawn <= 40
+    assert projection.sample_loads(loads, 0.0, 1).count() == 0
+
+
+def test_a_constant_measure_drops_no_lane(spark):
+    from haulcost.operators import clusters, energy
+
+    columns = ", ".join(f"`{c}` double" for c in energy.SCALED)
+    rows = [(f"lane{i}", energy.FUEL_PAIR[0], *[None if k == 0 else float(i) for k in range(len(energy.SCALED))]) for i in range(20)]
+    frame = spark.createDataFrame(rows, f"lane string, `{energy.TYPE}` string, {columns}")
+    features = clusters.fuel_features(frame)
+    assert features.count() == 20 and features.columns == [*frame.columns, "features"]
+    assert clusters.kmeans_elbow(features, max_k=3, rounds=20).count() == 3
