@@ -74,9 +74,10 @@ def targets(sources: DataFrame, most: float = 3.0, share: float = 1.0) -> DataFr
         sources.withColumn("cap", F.lit(float(most)) * F.col("source_size"))
         .withColumn("wanted", F.lit(float(share)) * F.sum("source_size").over(everything))
         .withColumn("level", level)
-        # The first source that stays below its cap has the level; none does if all are full.
-        .withColumn("at", F.min(F.when(F.col("level") < reach, F.struct(reach, "level"))).over(everything))
-        .withColumn("target", F.least("cap", F.coalesce(F.col("weight") * F.col("at.level"), "cap")))
+        # The first source that stays below its cap has the level, and those after it, which may
+        # reach theirs together, a lower one; none does if all are full.
+        .withColumn("at", F.max(F.when(F.col("level") <= reach, F.col("level"))).over(everything))
+        .withColumn("target", F.least("cap", F.coalesce(F.col("weight") * F.col("at"), "cap")))
         .select("source", "source_size", "documents", "weight", "target")
     )
 
