@@ -51,11 +51,14 @@ COMMON_BITS = 1 << 24
 #: half is common. Documents with a larger share of common ones are searched whole.
 SEARCHED = 0.25
 MOSTLY = 0.5
-#: Members of a list that all others are compared with, and rounds of that for long lists.
+#: Members of a list that all others are compared with, and rounds of that at most.
 PIVOTS = 3
 PIVOT_ROUNDS = 3
 #: Lists with more members than this are compared with pivots again before pair by pair.
 LONG_LIST = 64
+#: Unless that costs more: a round costs as much as this many times its comparisons do in
+#: the last one, which reads no list anew; with fewer pairs left, the last one is next.
+ROUND_COST = 8
 #: Sizes that the boundary is chosen among.
 MOST_SMALL = 24
 
@@ -269,14 +272,20 @@ def shared_keys(sets: DataFrame) -> DataFrame:
     """(key, class, size, rank) of the members of keys that more than one class has.
 
     ``rank`` is the key's place in the set's order. A subset counts as a first one.
+    The smaller set of a link has a key that it shares in its first ninth, so a key
+    without such a member is of no use.
     """
     members = sets.select(
         "class", "size", F.posexplode("prefix").alias("rank", "key")
     ).unionByName(sets.select("class", "size", F.lit(0).alias("rank"), F.explode("subsets").alias("key")))
     several = (
         members.groupBy("key")
-        .agg(F.min("class").alias("_low"), F.max("class").alias("_high"))
-        .filter("_low < _high")
+        .agg(
+            F.min("class").alias("_low"),
+            F.max("class").alias("_high"),
+            F.max(F.expr("9 * rank <= size")).alias("_early"),
+        )
+        .filter("_low < _high and _early")
     )
     also = F.hash("key").alias("_also")
     return (
@@ -316,8 +325,8 @@ def links(documents: DataFrame, sets: DataFrame, classes: DataFrame) -> DataFram
     """(node, root) of every class that links with another.
 
     Rounds compare the members of lists that are still in different components:
-    with a few of their list first, and again while such lists are long, then each
-    with each. The last round leaves no possible pair untried.
+    with a few of their list first, and again while that costs less than each with
+    each. The last round leaves no possible pair untried.
     """
     spark = documents.sparkSession
     lists = cut_lineage(shared_keys(sets).withColumn("root", F.col("class")))
@@ -325,17 +334,34 @@ def links(documents: DataFrame, sets: DataFrame, classes: DataFrame) -> DataFram
     tried = found = roots = None
     round_ = 0
     while True:
-        open_ = lists.groupBy("key").agg(
-            F.min("root").alias("_low"), F.max("root").alias("_high"), F.count("*").alias("_n")
-        ).filter("_low < _high")
-        longest = open_.agg(F.max("_n")).first()[0]
-        if longest is None:
-            break
         also = F.hash("key").alias("_also")
-        left = cut_lineage(
-            lists.select("*", also).join(open_.select("key", also).hint("merge"), ["key", "_also"], "left_semi")
-        )
-        last = round_ > 0 and (round_ >= PIVOT_ROUNDS or longest <= LONG_LIST)
+        if round_ == 0:  # all lists are open
+            left = lists.select("*", also)
+            last = False
+            if left.isEmpty():
+                break
+        else:
+            open_ = (
+                lists.groupBy("key")
+                .agg(F.min("root").alias("_low"), F.max("root").alias("_high"), F.count("*").alias("_n"))
+                .filter("_low < _high")
+            )
+            open_ = cut_lineage(open_.select("key", "_n"))
+            n = F.col("_n").cast("double")
+            cost = open_.agg(F.sum(n * n).alias("pairs"), F.sum(n).alias("rows"), F.max("_n").alias("longest")).first()
+            if cost.rows is None:
+                break
+            last = (
+                round_ >= PIVOT_ROUNDS
+                or cost.longest <= LONG_LIST
+                or cost.pairs <= ROUND_COST * PIVOTS * cost.rows
+            )
+            left = cut_lineage(
+                lists.select("*", also).join(
+                    open_.select("key", also).hint("merge"), ["key", "_also"], "left_semi"
+                )
+            )
+            release(open_, lists)
         right = left if last else _pivots(left, round_)
         pairs = (
             left.alias("l")

@@ -365,6 +365,7 @@ def test_jaccard_components(spark, texts):
 
 def test_jaccard_of_small_sets_and_a_large_near_group(spark, monkeypatch):
     monkeypatch.setattr(jaccard, "LONG_LIST", 8)
+    monkeypatch.setattr(jaccard, "ROUND_COST", 0)
     monkeypatch.setattr(jaccard, "PIVOT_ROUNDS", 2)
     rng = random.Random(11)
     texts = {}
