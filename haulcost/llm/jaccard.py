@@ -54,10 +54,9 @@ MOSTLY = 0.5
 #: Members of a list that all others are compared with, and rounds of that at most.
 PIVOTS = 3
 PIVOT_ROUNDS = 3
-#: Lists with more members than this are compared with pivots again before pair by pair.
+#: Lists with more members than this are compared with pivots again before pair by pair,
 LONG_LIST = 64
-#: Unless that costs more: a round costs as much as this many times its comparisons do in
-#: the last one, which reads no list anew; with fewer pairs left, the last one is next.
+#: unless the pairs of all lists are at most this many times the comparisons with pivots.
 ROUND_COST = 8
 #: Sizes that the boundary is chosen among.
 MOST_SMALL = 24
@@ -122,7 +121,9 @@ def _is_common(h: np.ndarray, bitmap: np.ndarray) -> np.ndarray:
 
 
 def shingle_statistics(documents: DataFrame, bitmap: np.ndarray | None = None) -> DataFrame:
-    """Counts over all documents: (kind, key, n) with kind 0 a folded shingle, 1 a set size.
+    """Counts over all documents: (kind, key, n, squares).
+
+    Kind 0 is a common shingle, folded, 1 a set size, 2 all other shingles together.
 
     With a bitmap of common shingles, the rest of the shingles of the documents that
     mostly consist of those; they repeat each other, so counts of a batch are few.
@@ -152,14 +153,18 @@ def shingle_statistics(documents: DataFrame, bitmap: np.ndarray | None = None) -
                 )
 
     counted = _documents(documents).select("text").mapInArrow(count, "kind int, key int, n long")
-    return counted.groupBy("kind", "key").agg(F.sum("n").alias("n"))
+    counted = counted.groupBy("kind", "key").agg(F.sum("n").alias("n"))
+    rare = F.expr(f"kind = 0 and n <= {COMMON}")
+    return counted.groupBy(
+        F.when(rare, 2).otherwise(F.col("kind")).alias("kind"), F.when(~rare, F.col("key")).alias("key")
+    ).agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("squares"))
 
 
 def common_shingles(statistics: DataFrame) -> np.ndarray:
     """A bitmap of the common shingles: ``COMMON_BITS`` bits, whatever the corpus."""
     bit = F.pmod(F.col("key"), F.lit(COMMON_BITS)).cast("long")
     rows = (
-        statistics.filter((F.col("kind") == 0) & (F.col("n") > COMMON))
+        statistics.filter("kind = 0")
         .select(F.floor(bit / 32768).cast("long").alias("part"), F.pmod(bit, F.lit(32768)).alias("bit"))
         .groupBy("part")
         .agg(F.expr("bitmap_construct_agg(bit)").alias("bits"))
@@ -275,6 +280,8 @@ def shared_keys(sets: DataFrame) -> DataFrame:
     The smaller set of a link has a key that it shares in its first ninth, so a key
     without such a member is of no use.
     """
+    # Each key is once in ``several``, so its part of a shuffle is small enough to hash;
+    # the members, of which a key may have many, are streamed and not sorted.
     members = sets.select(
         "class", "size", F.posexplode("prefix").alias("rank", "key")
     ).unionByName(sets.select("class", "size", F.lit(0).alias("rank"), F.explode("subsets").alias("key")))
@@ -290,7 +297,7 @@ def shared_keys(sets: DataFrame) -> DataFrame:
     also = F.hash("key").alias("_also")
     return (
         members.select("*", also)
-        .join(several.select("key", also).hint("merge"), ["key", "_also"], "left_semi")
+        .join(several.select("key", also).hint("shuffle_hash"), ["key", "_also"], "left_semi")
         .select("key", "class", "size", "rank")
         .distinct()
     )
@@ -401,8 +408,7 @@ def jaccard_components(documents: DataFrame) -> DataFrame:
     """
     statistics = cut_lineage(shingle_statistics(documents))
     bitmap = common_shingles(statistics)
-    rare = statistics.filter((F.col("kind") == 0) & (F.col("n") <= COMMON))
-    total = rare.agg(F.sum(F.col("n") * F.col("n")).alias("pairs"), F.sum("n").alias("rows")).first()
+    total = statistics.filter("kind = 2").agg(F.sum("squares").alias("pairs"), F.sum("n").alias("rows")).first()
     sizes = {r.key: r.n for r in statistics.filter("kind = 1 and key > 0").collect()}
     release(statistics)
     bitmap |= common_shingles(shingle_statistics(documents, bitmap))
