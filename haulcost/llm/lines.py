@@ -3,7 +3,9 @@
 Lines are compared as sequences of words. A line goes if an earlier line (by
 doc_id, then line number) has the same words or is one word away: one word
 replaced, inserted or deleted. The earliest of each kind stays. Lines with fewer
-than ``min_words`` words are left alone; one word is too large a part of them.
+than ``min_words`` words have no near copies; one word is too large a part of them.
+Their exact copies go if they have at least ``copies_from`` words: 1 takes every
+line that is not blank, the default leaves short lines alone, as OP6_SQL does.
 
 1. Equal lines collapse by a 128-bit hash to their first place.
 2. Two lines one word apart share their first or last half. Lines whose halves
@@ -48,12 +50,12 @@ def _long_enough(line: Column, min_words: int) -> Column:
     return line.rlike(f"^{space}*(?:{word}+{space}+){{{min_words - 1}}}{word}")
 
 
-def lines(documents: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+def lines(documents: DataFrame, copies_from: int = MIN_WORDS) -> DataFrame:
     """The lines that are compared: place and words."""
     split = _documents(documents).select(
         "doc", "version", F.posexplode(F.split("text", "\n")).alias("line", "content")
     )
-    return split.filter(_long_enough(F.col("content"), min_words)).select(
+    return split.filter(_long_enough(F.col("content"), copies_from)).select(
         *PLACE, words(F.col("content")).alias("words")
     )
 
@@ -72,12 +74,13 @@ def _half_keys(found: str = "words") -> Column:
     return F.expr(f"array({', '.join(keys)})")
 
 
-def first_lines(compared: DataFrame) -> DataFrame:
-    """The first place of each different line, with the keys of its halves."""
+def first_lines(compared: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+    """The first place of each different line, with the keys of its halves if it has near copies."""
     place = F.struct(*PLACE)
+    halves = F.when(F.size("words") >= min_words, _half_keys())
     classes = compared.groupBy(
         F.xxhash64("words").alias("_one"), F.xxhash64(F.lit("second"), "words").alias("_two")
-    ).agg(F.min(place).alias("place"), F.first(_half_keys()).alias("halves"))
+    ).agg(F.min(place).alias("place"), F.first(halves).alias("halves"))
     return classes.select("place.*", "halves")
 
 
@@ -194,9 +197,11 @@ def later_lines(candidates: DataFrame, pairs: DataFrame) -> DataFrame:
     )
 
 
-def kept_places(documents: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+def kept_places(
+    documents: DataFrame, min_words: int = MIN_WORDS, copies_from: int = MIN_WORDS
+) -> DataFrame:
     """Per document, a string of 0 and 1: which of its compared lines stay."""
-    classes = cut_lineage(first_lines(lines(documents, min_words)))
+    classes = cut_lineage(first_lines(lines(documents, copies_from), min_words))
     places = cut_lineage(with_possible_partner(classes))
     candidates = cut_lineage(candidate_words(documents, places))
     release(places)
@@ -222,12 +227,14 @@ def kept_places(documents: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     )
 
 
-def deduped(documents: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+def deduped(
+    documents: DataFrame, min_words: int = MIN_WORDS, copies_from: int = MIN_WORDS
+) -> DataFrame:
     """The documents with ``text`` cleaned, and how many lines were compared and went.
 
     Adds ``_compared`` and ``_gone``; all columns of ``documents`` stay.
     """
-    kept = kept_places(documents, min_words)
+    kept = kept_places(documents, min_words, copies_from)
     # Rows travel as one column, so that no name of theirs meets a name used here.
     keyed = (
         documents.select(F.struct("*").alias("_row"))
@@ -241,7 +248,7 @@ def deduped(documents: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
         F.split("_row.text", "\n"),
         lambda line, at: F.struct(
             line.alias("line"),
-            _long_enough(line, min_words).alias("compared"),
+            _long_enough(line, copies_from).alias("compared"),
             at.alias("at"),
         ),
     )

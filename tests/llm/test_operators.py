@@ -330,6 +330,23 @@ def test_line_dedup_against_all_pairs(spark):
     assert cleaned == expected
 
 
+def test_exact_copies_of_short_lines(spark):
+    rows = [
+        (1, "one\ntwo words\n\na b c d\na b c d e"),
+        (2, "two  words\none more\n \na b c x\na b c x e"),
+        (3, "one\n\na b c d\none"),
+        (4, "a b c d f"),
+    ]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {r.doc_id: (r._compared, r._gone, r.text) for r in lines.deduped(frame, copies_from=1).collect()}
+    assert found == {
+        1: (4, 0, rows[0][1]),
+        2: (4, 2, "one more\n \na b c x"),
+        3: (3, 3, ""),
+        4: (1, 1, ""),
+    }
+
+
 # --- n-gram Jaccard -------------------------------------------------------------------------
 
 
