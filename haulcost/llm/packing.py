@@ -42,11 +42,12 @@ def pieces(
     ranks_file: str | None = None,
     pattern: str | None = None,
     with_ids: bool = False,
+    tokenizer_file: str | None = None,
 ) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32 and, if asked for, the ids of every piece."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = encoder(ranks_file, pattern)
+        coder = encoder(ranks_file, pattern, tokenizer_file)
         end = np.array([END], "<u4")
         for batch in batches:
             # A few documents at a time, as their ids are several times as large.

@@ -545,6 +545,24 @@ def test_token_ids_equal_the_tokenizers_file():
         assert tokens.token_ids(text, coder).tolist() == expected
 
 
+@pytest.mark.parametrize(
+    "text",
+    [
+        "a <|endoftext|> b",
+        "<|endoftext|><|endoftext|>x\n<|endoftext|>",
+        "<|endoftext| > <endoftext>",
+        "a" + " " * 1_000_000 + "b <|endoftext|>",
+    ],
+)
+def test_added_tokens_and_long_runs_equal_the_tokenizers_file(text):
+    public = pytest.importorskip("public_tokenizers")
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(public.path("byte_bpe_50k.json"))
+    expected = tokenizer.encode(text, add_special_tokens=False).ids
+    assert tokens.token_ids(text, tokens.encoder()).tolist() == expected
+
+
 def test_sequences_hold_all_ids(spark):
     frame = spark.createDataFrame([(i, "word " * i) for i in range(60)], "doc_id long, text string")
     made = packing.sequences(frame, 64).collect()
