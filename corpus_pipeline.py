@@ -23,7 +23,7 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines that an earlier document has go, and documents that consist of such lines.
 
     Exact copies go whatever their length, near copies from five words on.
-    A document stays as long as one of its compared lines does, or if it had none.
+    A document stays as long as one of its lines that are not blank does, or if it had none.
     """
     cleaned = lines.deduped(docs, copies_from=1).filter("_compared = 0 or _gone < _compared")
     cleaned = cleaned.drop("_compared", "_gone")

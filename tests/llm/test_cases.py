@@ -127,6 +127,14 @@ def test_lines(odd, clashing, empty):
     assert lines.deduped(empty).count() == 0
 
 
+def test_documents_with_a_line_left_stay(spark):
+    notice = "Copyright of all these lines is ours"
+    rows = [(1, notice), (2, f"{notice}\nmilk\nbread"), (3, f"milk\n{notice}\n \nbread"), (4, "\n"), (5, None)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = {r.doc_id: r.text for r in corpus_pipeline.line_dedup(spark, frame, "").collect()}
+    assert kept == {1: notice, 2: "milk\nbread", 4: "\n", 5: None}
+
+
 def test_jaccard(odd, clashing, empty):
     rows = jaccard.jaccard_components(clashing).collect()
     assert collections.Counter(r.doc_id for r in rows) == counted(odd)
