@@ -5,15 +5,17 @@ and on paragraphs that declare nothing, gives each stretch of a paragraph a
 family or ``unknown``. Its probabilities are calibrated on rows that it was not
 trained on, and the least probability that counts follows from the same rows. A
 prediction holds only if a wording of that family is found in the paragraph;
-a stretch with wording of licences that is not confirmed is ``unknown``.
+a wording whose family is not predicted is ``unknown``. A paragraph gives a row
+for each family that it declares, the surest of the family's declarations.
 
 Defined cases: NULL and empty texts, and paragraphs without any wording, give no
-row; repeated rows give a row each; long paragraphs are read in overlapping
-stretches, all of them; an empty table gives no rows. Only doc_id and text are read.
+row; repeated rows give a row each; long paragraphs are read
+whole; an empty table gives no rows. Only doc_id and text are read.
 """
 
 from __future__ import annotations
 
+import collections
 import random
 import re
 from collections.abc import Iterator
@@ -35,6 +37,8 @@ STRETCH = 48
 STEP = 24
 #: Share of a wording's word triples that confirms it, and the share that makes a stretch of interest.
 CONFIRMED = 0.6
+#: Words from a wording's triple to the next, beyond which a first or last one may be chance.
+LONE = 6
 #: Share of background that may pass the probability threshold.
 FALSE_ALARMS = 0.002
 #: Variants of each wording for training.
@@ -74,37 +78,67 @@ class Model:
         at = [self.vocabulary[g] for g in grams(words) if g in self.vocabulary]
         return softmax((self.weights[at].sum(0) + self.weights[-1]) / self.temperature)
 
-    def similarity(self, family: str, found: set) -> float:
-        return max((len(t & found) / len(t) for f, t in self.wordings if f == family), default=0.0)
+    def occurrences(self, words: list[str]) -> Iterator[tuple[str, float, int, int]]:
+        """Family, similarity and place of every confirmed wording, within a stretch's length."""
+        hits = collections.defaultdict(list)
+        for at, t in enumerate(zip(words, words[1:], words[2:], strict=False)):
+            for wording in self.known.get(t, ()):
+                hits[wording].append((at, t))
+        for wording, own in sorted(hits.items()):
+            family, all_triples = self.wordings[wording]
+            least = CONFIRMED * len(all_triples)
+            group = {}  # triple to its place, in order of places
+            for at, t in [*own, (len(words) + STRETCH, None)]:
+                first = next(iter(group.values()), at)
+                if len(group) >= least and (t in group or at - first > STRETCH - 3):
+                    yield family, *self._tight(group, len(all_triples), least)
+                    group = {}
+                group.pop(t, None)
+                group = {k: v for k, v in group.items() if at - v <= STRETCH - 3}
+                group[t] = at
+
+    @staticmethod
+    def _tight(group: dict, of: int, least: float) -> tuple[float, int, int]:
+        """Similarity and place without lone triples far from the rest."""
+        places = list(group.values())
+        while len(places) - 1 >= least and places[1] - places[0] > LONE:
+            places.pop(0)
+        while len(places) - 1 >= least and places[-1] - places[-2] > LONE:
+            places.pop()
+        return len(places) / of, places[0], places[-1] + 3
+
+    def verdicts(self, words: list[str]) -> list[tuple[int, str, float, float]]:
+        """First word, family, probability and similarity of every declaration."""
+        none = self.families.index(UNKNOWN)
+        sure, rest = [], []
+        for family, same, start, end in self.occurrences(words):
+            # The wording alone, so that families side by side do not share a probability,
+            # and with the words around it.
+            around = max(0, min(start - (STRETCH - (end - start)) // 2, len(words) - STRETCH))
+            both = [self.probabilities(w) for w in (words[start:end], words[around : around + STRETCH])]
+            at = self.families.index(family)
+            own = max((float(p[at]) for p in both if int(np.argmax(p)) == at), default=0.0)
+            if own >= self.threshold:
+                sure.append((start, end, family, own, same))
+            else:
+                rest.append((start, end, UNKNOWN, max(float(1 - p[none]) for p in both), same))
+        # What a family explains is not unknown.
+        rest = [r for r in rest if not any(r[0] < s[1] and s[0] < r[1] for s in sure)]
+        return [(start, *row) for start, _, *row in sorted(sure + rest)]
 
     def judge(self, words: list[str]) -> tuple[str, float, float] | None:
-        """Family, probability and similarity of the stretch that is most surely one."""
-        best = None
-        known = self.known
-        if not any(t in known for t in triples(words)):
-            return None
-        for part in stretches(words):
-            found = triples(part) & known
-            if not found:
-                continue
-            p = self.probabilities(part)
-            at = int(np.argmax(p))
-            family = self.families[at]
-            same = self.similarity(family, found) if family != UNKNOWN else 0.0
-            likest = max(len(t & found) / len(t) for _, t in self.wordings)
-            if family != UNKNOWN and p[at] >= self.threshold and same >= CONFIRMED:
-                row = (2, float(p[at]), family, same)
-            elif likest >= CONFIRMED:
-                row = (1, float(1 - p[self.families.index(UNKNOWN)]), UNKNOWN, likest)
-            else:
-                continue
-            best = max(best or row, row)
-        return best and (best[2], best[1], best[3])
+        """Family, probability and similarity of the surest declaration."""
+        found = [row for _, *row in self.verdicts(words)]
+        return tuple(max(found, key=lambda r: (r[0] != UNKNOWN, r[1]))) if found else None
 
     @property
-    def known(self) -> set:
+    def known(self) -> dict[tuple, list[int]]:
+        """Every triple's wordings."""
         if not hasattr(self, "_known"):
-            self._known = set().union(*[t for _, t in self.wordings])
+            self._known = collections.defaultdict(list)
+            for wording, (_, found) in enumerate(self.wordings):
+                for t in found:
+                    self._known[t].append(wording)
         return self._known
 
 
@@ -203,7 +237,7 @@ def background(documents: DataFrame, documents_read: int = BACKGROUND_DOCUMENTS)
 
 
 def scan(documents: DataFrame, model: Model) -> DataFrame:
-    """doc_id, paragraph, family, probability and similarity of every paragraph with wording."""
+    """doc_id, paragraph, family, probability and similarity of every family that a paragraph declares."""
     docs = take(documents, doc_id="doc_id", text="text")
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -213,10 +247,11 @@ def scan(documents: DataFrame, model: Model) -> DataFrame:
             at, rows = [], []
             for i, text in enumerate(batch.column("text")):
                 for paragraph, content in enumerate((text.as_py() or "").split("\n")):
-                    verdict = own.judge(license_words(content))
-                    if verdict:
-                        at.append(i)
-                        rows.append((paragraph, *verdict))
+                    best = {}
+                    for _, *verdict in own.verdicts(license_words(content)):
+                        best[verdict[0]] = max(best.get(verdict[0], verdict), verdict)
+                    at += [i] * len(best)
+                    rows += [(paragraph, *best[family]) for family in sorted(best)]
             columns = list(zip(*rows, strict=True)) or [()] * 4
             kinds = (pa.int32(), pa.string(), pa.float64(), pa.float64())
             yield pa.RecordBatch.from_arrays(
@@ -234,6 +269,6 @@ def scan(documents: DataFrame, model: Model) -> DataFrame:
 
 
 def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every paragraph of all documents that declares a licence."""
+    """Every paragraph of all documents that declares a licence, with each family declared."""
     documents = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return scan(documents, train(background(documents)))

@@ -106,6 +106,21 @@ def test_license_held_out_wordings(license_model):
     assert family(long) == "Apache-2.0"
 
 
+def test_every_declared_family_has_a_row(spark, license_model):
+    filler = " plain" * 3000
+    rows = [
+        (1, "This code is licensed under the MIT License and the Apache License, Version 2.0."),
+        (2, f"Released under the MIT License.{filler} Licensed under CC BY-NC 4.0.{filler} Licensed under the ISC License."),
+        (3, f"Licensed under the ISC License.{filler} Licensed under the ISC License."),
+        (4, "you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation."),
+    ]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    found = sorted((r.doc_id, r.paragraph, r.family) for r in licenses.scan(frame, license_model).collect())
+    assert found == [
+        (1, 0, "Apache-2.0"), (1, 0, "MIT"), (2, 0, "CC-BY-NC"), (2, 0, "ISC"), (2, 0, "MIT"), (3, 0, "ISC"), (4, 0, "LGPL"),
+    ]
+
+
 # --- personal data --------------------------------------------------------------------------
 
 
