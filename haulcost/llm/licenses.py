@@ -5,8 +5,10 @@ and on paragraphs that declare nothing, gives each stretch of a paragraph a
 family or ``unknown``. Its probabilities are calibrated on rows that it was not
 trained on, and the least probability that counts follows from the same rows. A
 prediction holds only if a wording of that family is found in the paragraph;
-a wording whose family is not predicted is ``unknown``. A paragraph gives a row
-for each family that it declares, the surest of the family's declarations.
+a wording whose family is not predicted is ``unknown``. A paragraph is a run of
+lines that are not blank, so that wordings may be wrapped. Each line where
+declarations start gives a row for each family, the surest of its declarations;
+``paragraph`` is that line's number.
 
 Defined cases: NULL and empty texts, and paragraphs without any wording, give no
 row; repeated rows give a row each; long paragraphs are read
@@ -51,6 +53,20 @@ def license_words(text: str) -> list[str]:
     return _WORD.findall(text.lower())
 
 
+def paragraphs(text: str) -> Iterator[tuple[list[str], list[int]]]:
+    """Words of each run of lines that are not blank, and the line that each word stands in."""
+    found, line_of = [], []
+    for line, content in enumerate(text.split("\n")):
+        own = license_words(content)
+        found += own
+        line_of += [line] * len(own)
+        if found and not content.strip():
+            yield found, line_of
+            found, line_of = [], []
+    if found:
+        yield found, line_of
+
+
 def triples(words: list[str]) -> set[tuple[str, ...]]:
     width = min(3, len(words))
     return set(zip(*[words[k:] for k in range(width)], strict=False)) if width else set()
@@ -237,7 +253,7 @@ def background(documents: DataFrame, documents_read: int = BACKGROUND_DOCUMENTS)
 
 
 def scan(documents: DataFrame, model: Model) -> DataFrame:
-    """doc_id, paragraph, family, probability and similarity of every family that a paragraph declares."""
+    """doc_id, paragraph, family, probability and similarity; ``paragraph`` is the line where a declaration starts."""
     docs = take(documents, doc_id="doc_id", text="text")
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -246,12 +262,13 @@ def scan(documents: DataFrame, model: Model) -> DataFrame:
         for batch in batches:
             at, rows = [], []
             for i, text in enumerate(batch.column("text")):
-                for paragraph, content in enumerate((text.as_py() or "").split("\n")):
-                    best = {}
-                    for _, *verdict in own.verdicts(license_words(content)):
-                        best[verdict[0]] = max(best.get(verdict[0], verdict), verdict)
-                    at += [i] * len(best)
-                    rows += [(paragraph, *best[family]) for family in sorted(best)]
+                best = {}
+                for found, line_of in paragraphs(text.as_py() or ""):
+                    for start, *verdict in own.verdicts(found):
+                        key = line_of[start], verdict[0]
+                        best[key] = max(best.get(key, verdict), verdict)
+                at += [i] * len(best)
+                rows += [(line, *best[line, family]) for line, family in sorted(best)]
             columns = list(zip(*rows, strict=True)) or [()] * 4
             kinds = (pa.int32(), pa.string(), pa.float64(), pa.float64())
             yield pa.RecordBatch.from_arrays(
@@ -269,6 +286,6 @@ def scan(documents: DataFrame, model: Model) -> DataFrame:
 
 
 def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every paragraph of all documents that declares a licence, with each family declared."""
+    """Every line of all documents where a licence is declared, with each family declared."""
     documents = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return scan(documents, train(background(documents)))

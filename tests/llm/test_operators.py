@@ -6,6 +6,7 @@ import collections
 import itertools
 import os
 import random
+import textwrap
 import zlib
 
 import duckdb
@@ -121,6 +122,22 @@ def test_every_declared_family_has_a_row(spark, license_model):
     ]
 
 
+def test_wrapped_wordings_are_found_where_they_start(spark, license_model):
+    bsd = licenses.TEMPLATES["BSD"][1]
+    isc = licenses.TEMPLATES["ISC"][1]
+    mit = licenses.TEMPLATES["MIT"][2]
+    apache = licenses.TEMPLATES["Apache-2.0"][2]
+    rows = [
+        (n, "\n".join(["A title", "", *[mark + x for x in textwrap.wrap(text, 38)], "", "plain text"]))
+        for n, (text, mark) in enumerate([(bsd, ""), (isc, "# "), (mit, " * "), (apache, "// ")])
+    ]
+    rows.append((4, "Released under\nthe MIT License.\nLicensed under the Apache License,\r\nVersion 2.0.\n\n"))
+    rows.append((5, "Released under\n\nthe MIT\n\nLicense."))
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    found = sorted((r.doc_id, r.paragraph, r.family) for r in licenses.scan(frame, license_model).collect())
+    assert found == [(0, 2, "BSD"), (1, 2, "ISC"), (2, 2, "MIT"), (3, 2, "Apache-2.0"), (4, 0, "MIT"), (4, 2, "Apache-2.0")]
+
+
 # --- personal data --------------------------------------------------------------------------
 
 
