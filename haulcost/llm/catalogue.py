@@ -6,6 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from haulcost.llm.alignment import op11_cross_tokenizer_alignment
+from haulcost.llm.codes import OP12_SQL, op12_vector_code_compression
+from haulcost.llm.extraction import op13_html_extraction
 from haulcost.llm.jaccard import op7_ngram_jaccard
 from haulcost.llm.licenses import op1_license_scan
 from haulcost.llm.lines import OP6_SQL, op6_line_dedup
@@ -30,6 +33,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op8_warc,
         op9_nearest_neighbours,
         op10_best_fit_packing,
+        op11_cross_tokenizer_alignment,
+        op12_vector_code_compression,
+        op13_html_extraction,
     )
     return {f.__name__: f for f in operators}
 
@@ -39,4 +45,5 @@ def oracle_sql() -> dict[str, str]:
         "op6_line_dedup": OP6_SQL,
         "op8_warc": OP8_SQL,
         "op9_nearest_neighbours": OP9_SQL,
+        "op12_vector_code_compression": OP12_SQL,
     }
