@@ -6,6 +6,14 @@ of records that are not wanted: it is read past in the stream but neither kept
 nor decoded. Writing gives one archive per task; a task that is repeated leaves
 no second archive, because only files named in the final commit are moved in.
 
+Damaged archives are read as far as they go. Bytes that are no record are passed over
+up to the next line that begins one; a gzip member that cannot be inflated ends there,
+and reading goes on with the next member. A record whose head can be read gives a row:
+with NULL for the payload if its end is missing or its length is no number. Lines may
+end without a carriage return; an HTTP body that does not begin with a status line is
+payload as a whole, and a head that no blank line ends has an empty payload. A record
+whose own head is cut gives no row.
+
 Defined cases: a NULL or empty payload is empty; payloads below 1000 bytes are
 always responses; of rows that repeat the largest page_id of a group all are
 responses; NULL ids count as the smallest; a header value keeps no line breaks; an
@@ -19,6 +27,7 @@ import hashlib
 import io
 import posixpath
 import uuid
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -51,6 +60,12 @@ REVISIT_BYTES = 1000
 #: Bytes of archives that one partition reads, and of records in one batch.
 PARTITION_BYTES = 64 << 20
 BATCH_BYTES = 8 << 20
+#: A header line is read in pieces of so many bytes at most.
+LONGEST_LINE = 1 << 20
+#: Fixed value: how a gzip member begins.
+GZIP_MAGIC = b"\x1f\x8b\x08"
+#: What a damaged member raises.
+DAMAGED = (zlib.error, EOFError)
 #: Spark's setting that lets Python sources see filters.
 PUSHDOWN = "spark.sql.python.filterPushdown.enabled"
 
@@ -85,32 +100,96 @@ class Written(WriterCommitMessage):
     file: str | None
 
 
+class Inflated(io.RawIOBase):
+    """The bytes of a gzip file member by member; a damaged member raises once and is left."""
+
+    def __init__(self, raw):
+        self.raw, self.held, self.member, self.ended = raw, b"", None, False
+
+    def readable(self) -> bool:
+        return True
+
+    def _more(self) -> bool:
+        read = self.raw.read(1 << 20)
+        self.held += read
+        return bool(read)
+
+    def _begin(self) -> bool:
+        """Go to the next place where a member begins."""
+        while (at := self.held.find(GZIP_MAGIC)) < 0:
+            self.held = self.held[-len(GZIP_MAGIC) + 1 :]
+            if not self._more():
+                return False
+        self.held, self.member = self.held[at:], zlib.decompressobj(31)
+        return True
+
+    def readinto(self, buffer) -> int:
+        while self.member is not None or self._begin():
+            if not self.held and not self._more():
+                self.member = None
+                raise EOFError("the last member is cut")
+            try:
+                data = self.member.decompress(self.held, len(buffer))
+            except zlib.error:
+                self.held, self.member = self.held[1:], None
+                raise
+            if self.member.eof:
+                self.held, self.member = self.member.unused_data, None
+            else:
+                self.held = self.member.unconsumed_tail
+            if data:
+                buffer[: len(data)] = data
+                return len(data)
+        return 0
+
+
 def _header_block(stream) -> dict[str, str] | None:
-    """The next record's headers by lower-case name, or None at the end."""
-    line = stream.readline()
-    while line in (b"\r\n", b"\n"):
-        line = stream.readline()
+    """The next record's headers by lower-case name, or None at the end or if they are cut."""
+    whole = True
+    while (line := stream.readline(LONGEST_LINE)) and not (whole and line.startswith(b"WARC/")):
+        whole = line.endswith(b"\n")
     if not line:
         return None
-    if not line.startswith(b"WARC/"):
-        raise ValueError(f"not a WARC record: {line[:40]!r}")
     headers: dict[str, str] = {}
-    while (line := stream.readline().rstrip(b"\r\n")) != b"":
+    while line := stream.readline(LONGEST_LINE):
+        line = line.rstrip(b"\r\n")
+        if not line:
+            return headers
         name, _, value = line.decode("utf-8", "replace").partition(":")
         headers[name.strip().lower()] = value.strip()
-    return headers
+    return None
 
 
 def _skip(stream, size: int) -> None:
+    if stream.seekable():
+        stream.seek(size, io.SEEK_CUR)
+        return
     while size > 0 and (read := len(stream.read(min(size, 1 << 16)))):
         size -= read
 
 
+def _length(value: bytes | str | None) -> int | None:
+    """A length given in a header, if it is one."""
+    text = value.decode("latin-1") if isinstance(value, bytes) else value or ""
+    return int(text) if text.strip().isascii() and text.strip().isdigit() else None
+
+
+def _http_head(stream, length: int) -> bytes:
+    """The head of an HTTP message of ``length`` bytes, with its blank line; empty if it has none."""
+    lines, size = [], 0
+    while size < length and (line := stream.readline(min(length - size, LONGEST_LINE))):
+        lines.append(line)
+        size += len(line)
+        if line in (b"\r\n", b"\n") or not lines[0].startswith(b"HTTP/"):
+            break
+    return b"".join(lines)
+
+
 def _http_length(head: bytes) -> int | None:
-    for line in head.split(b"\r\n")[1:]:
+    for line in head.split(b"\n")[1:]:
         name, _, value = line.partition(b":")
         if name.strip().lower() == b"content-length":
-            return int(value)
+            return _length(value)
     return None
 
 
@@ -161,33 +240,59 @@ class WarcReader(DataSourceReader):
                 return False
         return True
 
+    def _payload(self, stream, before: bytes, size: int) -> bytes | None:
+        """``before`` and the next ``size`` bytes, None if they are cut."""
+        data = stream.read(size)
+        return before + data if len(data) == size else None
+
+    def _fill(self, row: dict, headers: dict[str, str], stream) -> None:
+        """Read a record's body: its length and, if it is wanted, its payload."""
+        length = _length(headers.get("content-length", "0"))
+        if length is None:
+            return
+        before = b""
+        if headers.get("content-type", "").startswith("application/http"):
+            before = _http_head(stream, length)
+            length -= len(before)
+            if before.startswith(b"HTTP/"):
+                row["content_length"] = _http_length(before)
+                before = b""
+        if row["content_length"] is None and row["record_type"] != "revisit":
+            row["content_length"] = length + len(before)
+        if self.payload and row["record_type"] != "revisit":
+            row["payload"] = self._payload(stream, before, length)
+        else:
+            _skip(stream, length)
+
     def records(self, stream) -> Iterator[dict]:
-        while (headers := _header_block(stream)) is not None:
-            length = int(headers.get("content-length", 0))
-            row = {name: headers.get(header) for name, header in HEADERS.items()}
-            if row["payload_digest"]:
-                row["payload_digest"] = row["payload_digest"].removeprefix("sha1:")
-            if not self._wanted(row):
-                _skip(stream, length)
+        """The wanted records of a buffered stream; see the module on damaged ones."""
+        while True:
+            try:
+                headers = _header_block(stream)
+                if headers is None:
+                    return
+                row = {name: headers.get(header) for name, header in HEADERS.items()}
+                row |= {"content_length": None, "payload": None}
+                if row["payload_digest"]:
+                    row["payload_digest"] = row["payload_digest"].removeprefix("sha1:")
+            except DAMAGED:
                 continue
-            if not headers.get("content-type", "").startswith("application/http"):
-                row["content_length"] = length
-                row["payload"] = stream.read(length) if self.payload else _skip(stream, length)
-            else:
-                head = b""
-                while not head.endswith(b"\r\n\r\n") and len(head) < length:
-                    head += stream.readline()
-                row["content_length"] = _http_length(head)
-                rest = length - len(head)
-                revisit = row["record_type"] == "revisit"
-                row["payload"] = stream.read(rest) if self.payload and not revisit else _skip(stream, rest)
-            yield row
+            wanted = self._wanted(row)
+            try:
+                if wanted:
+                    self._fill(row, headers, stream)
+                else:
+                    _skip(stream, _length(headers.get("content-length", "0")) or 0)
+            except DAMAGED:
+                pass
+            if wanted:
+                yield row
 
     def read(self, partition: Archives) -> Iterator[pa.RecordBatch]:
         store, _ = _store(self.path)
         for file in partition.files:
-            with store.open_input_stream(file, compression=None) as raw:
-                stream = gzip.GzipFile(fileobj=raw) if file.endswith(".gz") else raw
+            with store.open_input_file(file) as raw:
+                stream = Inflated(raw) if file.endswith(".gz") else raw
                 held, size = [], 0
                 for row in self.records(io.BufferedReader(stream, 1 << 20)):
                     held.append(row)

@@ -6,6 +6,7 @@ import collections
 import itertools
 import os
 import random
+import re
 import textwrap
 import zlib
 
@@ -482,7 +483,7 @@ def test_archives_round_trip_and_conditions(spark):
             assert bytes(read[f"<urn:x-page:{id_}>"].payload).decode() == (html or "")
         few = warc.read_archives(spark, folder).filter("record_type = 'revisit' and target_uri is not null")
         plan = few._jdf.queryExecution().executedPlan().toString()
-        assert "Filter" not in plan, "the conditions are tested by the reader"
+        assert not re.search(r"\bFilter \(", plan), "the conditions are tested by the reader"
         assert [r.record_id for r in few.collect()] == ["<urn:x-page:1>"]
         assert {r.target_uri for r in warc.read_archives(spark, folder).filter("target_uri in ('u', 'w')").collect()} == {"u", "w"}
         heads = warc.read_archives(spark, folder, payload=False)
