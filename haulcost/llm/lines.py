@@ -2,10 +2,10 @@
 
 Lines are compared as sequences of words. A line goes if an earlier line (by
 doc_id, then line number) has the same words or is one word away: one word
-replaced, inserted or deleted. The earliest of each kind stays. Lines with fewer
-than ``min_words`` words have no near copies; one word is too large a part of them.
-Their exact copies go if they have at least ``copies_from`` words: 1 takes every
-line that is not blank, the default leaves short lines alone, as OP6_SQL does.
+replaced, inserted or deleted. The earliest of each kind stays. Exact copies go
+whatever the length of a line that is not blank, or from ``copies_from`` words on.
+Lines with fewer than ``min_words`` words have no near copies; one word, the edit
+bound, is too large a part of them.
 
 1. Equal lines collapse by a 128-bit hash to their first place.
 2. Two lines one word apart share their first or last half. Lines whose halves
@@ -17,16 +17,18 @@ line that is not blank, the default leaves short lines alone, as OP6_SQL does.
 4. The pairs' words are compared: common first and last words must cover all but
    one. Then the earlier stays and the later goes.
 
-Defined cases: a NULL text stays NULL; empty texts and blank or short lines stay;
-NULL ids count as the smallest id; rows that share an id are told apart by their
-text, and rows that are repeated entirely are treated alike, as one; an empty
-table gives no rows. Only doc_id and text are read; other columns pass through.
+Defined cases: a NULL text stays NULL; empty texts and blank lines stay; NULL ids
+count as the smallest id; rows that share an id are told apart by their text, and of
+rows that share both one counts as the first and the others lose all lines that are
+compared; ids that are no numbers are ordered as text; an empty table gives no rows.
+Only doc_id and text are read; other columns pass through.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DataType, IntegralType
 
 from haulcost.llm.words import take, words
 from haulcost.sources.scratch import cut_lineage, release
@@ -37,9 +39,17 @@ PLACE = ["doc", "version", "line"]
 _NULL_ID = -(1 << 63)
 
 
+def _ordered(id_: Column, kind: DataType) -> Column:
+    """An id that is never NULL and orders as the documents do."""
+    if isinstance(kind, IntegralType):
+        return F.coalesce(id_.cast("long"), F.lit(_NULL_ID))
+    return F.coalesce(F.concat(F.lit("."), id_.cast("string")), F.lit(""))
+
+
 def _documents(documents: DataFrame) -> DataFrame:
-    return take(documents, doc="doc_id", text="text").select(
-        F.coalesce(F.col("doc").cast("long"), F.lit(_NULL_ID)).alias("doc"),
+    docs = take(documents, doc="doc_id", text="text")
+    return docs.select(
+        _ordered(F.col("doc"), docs.schema["doc"].dataType).alias("doc"),
         F.xxhash64("text").alias("version"),
         "text",
     )
@@ -50,7 +60,7 @@ def _long_enough(line: Column, min_words: int) -> Column:
     return line.rlike(f"^{space}*(?:{word}+{space}+){{{min_words - 1}}}{word}")
 
 
-def lines(documents: DataFrame, copies_from: int = MIN_WORDS) -> DataFrame:
+def lines(documents: DataFrame, copies_from: int = 1) -> DataFrame:
     """The lines that are compared: place and words."""
     split = _documents(documents).select(
         "doc", "version", F.posexplode(F.split("text", "\n")).alias("line", "content")
@@ -198,7 +208,7 @@ def later_lines(candidates: DataFrame, pairs: DataFrame) -> DataFrame:
 
 
 def kept_places(
-    documents: DataFrame, min_words: int = MIN_WORDS, copies_from: int = MIN_WORDS
+    documents: DataFrame, min_words: int = MIN_WORDS, copies_from: int = 1
 ) -> DataFrame:
     """Per document, a string of 0 and 1: which of its compared lines stay."""
     classes = cut_lineage(first_lines(lines(documents, copies_from), min_words))
@@ -227,8 +237,32 @@ def kept_places(
     )
 
 
+def repeats_marked(keyed: DataFrame) -> DataFrame:
+    """Rows with ``_repeat``: whether another row of the same ``_doc`` and ``_version`` is the first.
+
+    Only rows that are repeated are numbered, and the numbers are stored, so that a
+    task that runs again numbers nothing anew. The first is the least number, which
+    is aggregated before it meets the rows: no group is sorted or held by a task.
+    """
+    place = ["_doc", "_version"]
+    counts = keyed.filter(_long_enough(F.col("_row.text"), 1)).groupBy(*place).agg(F.count("*").alias("_n"))
+    repeated = cut_lineage(counts.filter("_n > 1").select(*place))
+    if repeated.isEmpty():
+        return keyed.withColumn("_repeat", F.lit(False))
+    also = F.xxhash64(*place)  # a join on it as well can be split at a hot place
+    there = repeated.withColumn("_also", also)
+    own = keyed.withColumn("_also", also)
+    numbered = own.join(there, [*place, "_also"], "left_semi").withColumn("_at", F.monotonically_increasing_id())
+    numbered = cut_lineage(numbered)
+    firsts = numbered.groupBy(*place).agg(F.min("_at").alias("_first")).withColumn("_also", also)
+    marked = numbered.join(firsts, [*place, "_also"]).withColumn("_repeat", F.col("_at") != F.col("_first"))
+    others = own.join(there, [*place, "_also"], "left_anti").withColumn("_repeat", F.lit(False))
+    names = [*keyed.columns, "_repeat"]
+    return others.select(*names).unionByName(marked.select(*names))
+
+
 def deduped(
-    documents: DataFrame, min_words: int = MIN_WORDS, copies_from: int = MIN_WORDS
+    documents: DataFrame, min_words: int = MIN_WORDS, copies_from: int = 1
 ) -> DataFrame:
     """The documents with ``text`` cleaned, and how many lines were compared and went.
 
@@ -236,9 +270,9 @@ def deduped(
     """
     kept = kept_places(documents, min_words, copies_from)
     # Rows travel as one column, so that no name of theirs meets a name used here.
-    keyed = (
+    keyed = repeats_marked(
         documents.select(F.struct("*").alias("_row"))
-        .withColumn("_doc", F.coalesce(F.col("_row.doc_id").cast("long"), F.lit(_NULL_ID)))
+        .withColumn("_doc", _ordered(F.col("_row.doc_id"), documents.schema["doc_id"].dataType))
         .withColumn("_version", F.xxhash64("_row.text"))
     )
     kept = kept.select(
@@ -254,7 +288,7 @@ def deduped(
     )
     staying = F.expr(
         "filter(_lines, x -> not x.compared"
-        " or coalesce(substring(_flags, x.at + 1, 1) = X'31', false))"
+        " or not _repeat and coalesce(substring(_flags, x.at + 1, 1) = X'31', false))"
     )
     text = F.when(F.col("_row.text").isNotNull(), F.array_join("_staying.line", "\n"))
     return (
@@ -282,18 +316,21 @@ def op6_line_dedup(spark, sf_dir: str) -> DataFrame:
 
 
 OP6_SQL = r"""
-with pieces as (
-  select doc_id, text, unnest(string_split(text, chr(10))) as line,
+with numbered as (
+  select *, row_number() over (order by doc_id nulls first, text) as rid from documents
+),
+pieces as (
+  select rid, unnest(string_split(text, chr(10))) as line,
     generate_subscripts(string_split(text, chr(10)), 1) as line_no
-  from documents where text is not null
+  from numbered where text is not null
 ),
 named as (
   select *, regexp_extract_all(line, '[^\x20\x09-\x0D]+') as words from pieces
 ),
 long as (
-  select doc_id, line_no, line, words, len(words) as n, array_to_string(words, ' ') as content,
-    row_number() over (order by doc_id, line_no) as place
-  from named where len(words) >= 5
+  select rid, line_no, line, words, len(words) as n, array_to_string(words, ' ') as content,
+    row_number() over (order by rid, line_no) as place
+  from named where len(words) >= 1
 ),
 firsts as (
   select content, min(place) as place, any_value(words) as words, any_value(n) as n
@@ -301,7 +338,7 @@ firsts as (
 ),
 variants as (
   select place, n, k, array_to_string(words[:k - 1] || words[k + 1:], ' ') as variant
-  from (select place, n, words, unnest(range(1, n + 1)) as k from firsts)
+  from (select place, n, words, unnest(range(1, n + 1)) as k from firsts where n >= 5)
 ),
 replaced as (
   select place from (
@@ -310,23 +347,23 @@ replaced as (
 ),
 inserted as (
   select greatest(v.place, f.place) as place
-  from variants v join firsts f on f.content = v.variant and f.n = v.n - 1
+  from variants v join firsts f on f.content = v.variant and f.n = v.n - 1 and f.n >= 5
 ),
 staying as (
   select place from firsts
   where place not in (select place from replaced union all select place from inserted)
 ),
 flagged as (
-  select p.doc_id, p.line_no, p.line, len(p.words) >= 5 as compared,
-    len(p.words) < 5 or s.place is not null as stays
-  from named p left join long l on l.doc_id = p.doc_id and l.line_no = p.line_no
+  select p.rid, p.line_no, p.line, len(p.words) >= 1 as compared,
+    len(p.words) < 1 or s.place is not null as stays
+  from named p left join long l on l.rid = p.rid and l.line_no = p.line_no
   left join staying s on s.place = l.place
 )
 select d.doc_id, coalesce(x.n_compared, 0) as n_compared, coalesce(x.n_gone, 0) as n_gone,
   case when d.text is null then null else md5(coalesce(x.cleaned, '')) end as cleaned_md5
-from documents d left join (
-  select doc_id, count(*) filter (compared) as n_compared, count(*) filter (not stays) as n_gone,
+from numbered d left join (
+  select rid, count(*) filter (compared) as n_compared, count(*) filter (not stays) as n_gone,
     string_agg(line, chr(10) order by line_no) filter (stays) as cleaned
-  from flagged group by doc_id
-) x on x.doc_id = d.doc_id
+  from flagged group by rid
+) x on x.rid = d.rid
 """

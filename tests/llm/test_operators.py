@@ -334,7 +334,7 @@ def edit_distance(a, b):
 
 def test_line_dedup_against_all_pairs(spark):
     rng = random.Random(5)
-    base = [" ".join(rng.choices("abcdefgh", k=rng.randint(3, 9))) for _ in range(25)]
+    base = [" ".join(rng.choices("abcdefgh", k=rng.randint(2, 9))) for _ in range(25)]
     rows = []
     for doc in range(40):
         out = []
@@ -353,8 +353,9 @@ def test_line_dedup_against_all_pairs(spark):
         kept = []
         for line in text.split("\n"):
             found = line.split()
-            if len(found) >= 5:
-                gone = any(edit_distance(found, e) <= 1 for e in earlier)
+            if found:
+                near = [e for e in earlier if min(len(e), len(found)) >= 5]
+                gone = found in earlier or any(edit_distance(found, e) <= 1 for e in near)
                 earlier.append(found)
                 if gone:
                     continue
@@ -371,7 +372,7 @@ def test_exact_copies_of_short_lines(spark):
         (4, "a b c d f"),
     ]
     frame = spark.createDataFrame(rows, "doc_id long, text string")
-    found = {r.doc_id: (r._compared, r._gone, r.text) for r in lines.deduped(frame, copies_from=1).collect()}
+    found = {r.doc_id: (r._compared, r._gone, r.text) for r in lines.deduped(frame).collect()}
     assert found == {
         1: (4, 0, rows[0][1]),
         2: (4, 2, "one more\n \na b c x"),
@@ -380,6 +381,25 @@ def test_exact_copies_of_short_lines(spark):
     }
 
 
+def test_of_repeated_rows_one_keeps_its_lines(spark):
+    text = "a line of five words\nshort"
+    rows = [(1, text, "x"), (1, text, "y"), (1, text, "y"), (None, text, "z"), (None, text, "z"), (2, "own line", "x"), (3, "", "x"), (3, "", "x")]
+    for kind in ("long", "string"):
+        frame = spark.createDataFrame(rows, "doc_id long, text string, _also string").repartition(4)
+        cleaned = lines.deduped(frame.withColumn("doc_id", F.col("doc_id").cast(kind))).collect()
+        assert sorted(r.text for r in cleaned) == ["", "", "", "", "", "", text, "own line"]
+        assert [r.doc_id for r in cleaned if r.text == text] == [None]
+        assert sum(r._gone for r in cleaned) == 8 and sum(r._compared for r in cleaned) == 11
+
+
+def test_no_exact_later_copy_is_left(spark):
+    documents = spark.read.parquet(f"{FOLDER}/documents.parquet")
+    left = collections.Counter()
+    for r in lines.deduped(documents).collect():
+        left.update(" ".join(x.split()) for x in (r.text or "").split("\n") if x.split())
+    assert left and max(left.values()) == 1
+
+
 # --- n-gram Jaccard -------------------------------------------------------------------------
 
 
