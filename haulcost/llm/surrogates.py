@@ -1,7 +1,8 @@
 """Personal data replaced by keyed surrogates of the same type and format.
 
 Detected are e-mail addresses, IPv4 addresses, telephone numbers, long card and
-account numbers, social security numbers, secret keys and personal names. An
+account numbers, social security numbers, secret keys, keys of known prefixes and
+personal names: a listed given name, initials, a capitalised family name. An
 entity has the same surrogate wherever it occurs (coreference), two entities have
 different ones (distinctness), and no surrogate is an entity that occurs in the
 texts; a check of all of them repeats until nothing collides. Digits become
@@ -10,11 +11,16 @@ reserved top domain, addresses of one domain keep sharing one; octets keep their
 number of digits; a number that passes the card checksum still does; names keep
 gender and script.
 
+A format may have fewer forms than the texts have entities ("+1 2 33 44" has 100,000).
+What collides again and again gets longer surrogates, one character more with each
+attempt, so that the attempts end; only then does a surrogate leave its format.
+
 Without the key, a surrogate says nothing about its entity.
 
 Defined cases: NULL and empty texts stay as they are, as do texts without
 entities; rows that share an id are told apart by their text, and rows that are
-repeated are treated alike; an empty table gives no rows. Only doc_id and text are
+repeated are treated alike; an empty table gives no rows; a domain of more than 127
+labels is none, and its text may be replaced in part. Only doc_id and text are
 read; other columns pass through.
 """
 
@@ -52,12 +58,42 @@ GROUPS = {
     "male_cyrillic": (MALE_CYRILLIC, FAMILY_MALE_CYRILLIC),
     "female_cyrillic": (FEMALE_CYRILLIC, FAMILY_FEMALE_CYRILLIC),
 }
-_GIVEN = [name for given, _ in GROUPS.values() for name in given]
+# Further given names that are looked for, by the group that replaces them.
+ALSO_GIVEN = {
+    "male_latin": (
+        "John Richard Joseph Christopher Mark Donald Steven Paul Andrew Joshua Kenneth Kevin Brian George "
+        "Timothy Ronald Edward Jason Jeffrey Ryan Jacob Gary Nicholas Eric Jonathan Stephen Larry Justin "
+        "Scott Brandon Benjamin Samuel Gregory Alexander Patrick Frank Raymond Jack Dennis Jerry Peter Henry "
+        "Adam Nathan Walter Kyle Harold Carl Arthur Roger Albert Ahmed Mohammed Mohamed Ali Omar Hassan "
+        "Stefan Andreas Markus Uwe Dieter Günter Heinz Karl Fritz Jean Michel Philippe Alain Nicolas Olivier "
+        "Laurent Marc Juan José Antonio Francisco Manuel Pedro Diego Alejandro Fernando Rafael Sergio Pablo"
+    ).split(),
+    "female_latin": (
+        "Linda Lisa Nancy Betty Sandra Ashley Kimberly Emily Donna Michelle Carol Amanda Melissa Deborah "
+        "Stephanie Rebecca Sharon Laura Cynthia Dorothy Amy Kathleen Angela Shirley Emma Brenda Pamela Nicole "
+        "Anna Samantha Katherine Christine Helen Debra Rachel Carolyn Janet Maria Catherine Heather Diane "
+        "Olivia Julie Joyce Victoria Ruth Virginia Lauren Kelly Christina Joan Evelyn Judith Alice Fatima "
+        "Aisha Petra Renate Claudia Gabriele Heike Birgit Ingrid Marie Jeanne Sophie Camille Isabelle Valérie "
+        "Ana Laura Marta Elena Rosa Teresa Cristina Paula Raquel Beatriz Julia Martha Gloria"
+    ).split(),
+    "male_cyrillic": "Владимир Евгений Максим Денис Олег Игорь Юрий Борис Роман Константин Антон Илья".split(),
+    "female_cyrillic": "Марина Людмила Галина Надежда Вера Любовь Валентина Дарья Алина Ксения".split(),
+}
+#: Every given name that is looked for, by group.
+LOOKED_FOR = {group: [*given, *ALSO_GIVEN[group]] for group, (given, _) in GROUPS.items()}
+_GIVEN = sorted({name for names in LOOKED_FOR.values() for name in names})
 
 #: Kinds of entity in the order in which they are tried. Every pattern starts where nothing
-#: that it could have begun with stands before, so a text is searched in one pass.
+#: that it could have begun with stands before, so a text is searched in one pass. Groups
+#: are repeated a bounded number of times (a domain has at most 127 labels), as the engine
+#: goes one call deeper with each.
 PATTERNS = {
-    "email": r"(?<![\p{L}\p{N}._%+\-@])[\p{L}\p{N}][\p{L}\p{N}._%+\-]*+@(?:[\p{L}\p{N}\-]+\.)+\p{L}{2,}",
+    "email": r"(?<![\p{L}\p{N}._%+\-@])[\p{L}\p{N}][\p{L}\p{N}._%+\-]*+@(?:[\p{L}\p{N}\-]++\.){1,126}\p{L}{2,}",
+    "key": (
+        r"(?<![\p{L}\p{N}_\-])(?:(?:AKIA|ASIA)[0-9A-Z]{16}|AIza[0-9A-Za-z_\-]{35}|gh[pousr]_[0-9A-Za-z]{36,255}"
+        r"|(?:sk|pk|rk)[\-_](?:[0-9A-Za-z]{2,10}[\-_]){0,3}[0-9A-Za-z]{20,255}|xox[abprs]-[0-9A-Za-z\-]{10,255})"
+        r"(?![\p{L}\p{N}])"
+    ),
     "secret": r"(?<![\p{L}\p{N}])(?:[0-9a-f]{32,64}|[0-9A-F]{32,64})(?![\p{L}\p{N}])",
     "ip": r"(?<![\p{L}\p{N}.])(?:(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)\.){3}(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)(?![\p{L}\p{N}]|\.\d)",
     "ssn": r"(?<![\p{L}\p{N}\-])\d{3}-\d{2}-\d{4}(?![\p{L}\p{N}]|-\d)",
@@ -68,12 +104,17 @@ PATTERNS = {
     "number": r"(?<![\p{L}\p{N}])\d(?:[ \-]?\d){12,18}(?![\p{L}\p{N}])",
     "name": (
         rf"(?<![\p{{L}}\p{{M}}])(?:{'|'.join(_GIVEN + [x.upper() for x in _GIVEN])})"
-        r" \p{Lu}[\p{L}\p{M}'’\-]*\p{L}"
+        r"(?:[ \u00a0]{1,8}\p{Lu}\.){0,3}[ \u00a0]{1,8}\p{Lu}[\p{L}\p{M}'’\-]*\p{L}"
     ),
 }
 ANY = "|".join(PATTERNS.values())
+#: Fixed value: the part of a key that says what it is for, which stays.
+KEY_PREFIX = r"^(?:AKIA|ASIA|AIza|gh[pousr]_|xox[abprs]-|(?:sk|pk|rk)[\-_](?:[0-9A-Za-z]{2,10}[\-_]){0,3})"
 #: After so many attempts a surrogate may have more characters than its entity.
 LOOSER = 4
+#: From this attempt on every surrogate gets one character more with each attempt, so that
+#: no number of entities uses up its format for good.
+WIDER = 12
 
 
 def _whole(kind: str) -> Column:
@@ -100,13 +141,14 @@ def _number(hex_digits: Column, start: int, length: int = 7) -> Column:
 
 
 def _scrambled(text: Column, stream: Column, hexadecimal: bool = False) -> Column:
-    """Digits for digits and lower-case letters for letters; the rest stays."""
+    """Digits for digits and letters for letters of the same case; the rest stays."""
     letters = "abcdef" if hexadecimal else "abcdefghijklmnopqrstuvwxyz"
 
     def swap(char: Column, at: Column) -> Column:
         value = F.conv(F.substring(stream, F.pmod(at * 3, F.lit(124)) + 1, F.lit(4)), 16, 10).cast("int")
         digit = F.substring(F.lit("0123456789"), value % 10 + 1, F.lit(1))
         letter = F.substring(F.lit(letters), value % len(letters) + 1, F.lit(1))
+        letter = F.when(char.rlike(r"\p{Lu}"), F.upper(letter)).otherwise(letter)
         return F.when(char.rlike("[0-9]"), digit).when(char.rlike(r"\p{L}"), letter).otherwise(char)
 
     return F.array_join(F.transform(F.split(text, ""), swap), "")
@@ -130,11 +172,17 @@ def _checked(fake: Column) -> Column:
     return F.concat(head, F.pmod(10 - rest, F.lit(10)).cast("string"))
 
 
+def _more(stream: Column, sample: str) -> Column:
+    """As many more characters like the sample as there were attempts from WIDER on."""
+    extra = F.greatest(F.col("attempt") - WIDER + 1, F.lit(0))
+    return F.when(extra > 0, _scrambled(F.repeat(F.lit(sample), extra), stream)).otherwise("")
+
+
 def _name(stream: Column) -> Column:
-    given = F.split("normal", " ")[0]
+    given = F.split("normal", "[ \u00a0]")[0]
     choice = None
-    for own, family in GROUPS.values():
-        # Another name of the group: some places after the entity's own.
+    for group, (own, family) in GROUPS.items():
+        # Another name of the group: some places after the entity's own, if that is one.
         place = F.array_position(F.array(*[F.lit(x.lower()) for x in own]), given)
         another = place + _number(stream, 1) % (len(own) - 1)
         more = F.when(
@@ -145,10 +193,11 @@ def _name(stream: Column) -> Column:
             F.col("attempt") >= 2 * LOOSER,
             F.concat(F.lit("-"), _pick(family, _number(stream, 31))),
         ).otherwise("")
+        wide = F.when(F.col("attempt") >= WIDER, F.concat(F.lit("-"), _more(stream, "a"))).otherwise("")
         made = F.concat(
-            _pick(own, another), F.lit(" "), _pick(family, _number(stream, 11)), more, even_more
+            _pick(own, another), F.lit(" "), _pick(family, _number(stream, 11)), more, even_more, wide
         )
-        own_group = given.isin([x.lower() for x in own])
+        own_group = given.isin([x.lower() for x in LOOKED_FOR[group]])
         choice = F.when(own_group, made) if choice is None else choice.when(own_group, made)
     return F.lower(choice)
 
@@ -159,6 +208,7 @@ def surrogate() -> Column:
     extra = F.when(
         F.col("attempt") >= LOOSER, (_number(stream, 101) % 100_000).cast("string")
     ).otherwise("")
+    extra = F.concat(extra, _more(stream, "0"))
     domain = F.split("normal", "@")[1]
     by_domain = _digits(F.lit("domain"), domain)
     host = _scrambled(F.lit("abcdefgh"), by_domain)
@@ -173,14 +223,20 @@ def surrogate() -> Column:
 
     ip = F.array_join(F.transform(F.split("normal", r"\."), octet), ".")
     country = F.regexp_extract("normal", r"^\+\d{1,3}(?=[ .\-(])", 0)
+    wide = _more(stream, "0")
+    prefix = F.regexp_extract("normal", KEY_PREFIX, 0)
+    secret_key = F.concat(prefix, _scrambled(F.substring("normal", F.length(prefix) + 1, F.length("normal")), stream))
     phone = F.concat(country, _scrambled(F.substring("normal", F.length(country) + 1, F.length("normal")), stream))
-    digits = _scrambled(F.col("normal"), stream)
+    digits = F.concat(_scrambled(F.col("normal"), stream), wide)
     number = F.when(_card_sum(F.col("normal")) == 0, _checked(digits)).otherwise(digits)
+    secret = F.concat(_scrambled(F.col("normal"), stream, hexadecimal=True), wide)
+    port = F.when(F.col("attempt") >= WIDER, F.concat(F.lit(":"), wide)).otherwise("")
     return (
         F.when(F.col("kind") == "email", email)
-        .when(F.col("kind") == "secret", _scrambled(F.col("normal"), stream, hexadecimal=True))
-        .when(F.col("kind") == "ip", ip)
-        .when(F.col("kind") == "phone", phone)
+        .when(F.col("kind") == "key", F.concat(secret_key, wide))
+        .when(F.col("kind") == "secret", secret)
+        .when(F.col("kind") == "ip", F.concat(ip, port))
+        .when(F.col("kind") == "phone", F.concat(phone, wide))
         .when(F.col("kind") == "number", number)
         .when(F.col("kind") == "ssn", digits)
         .when(F.col("kind") == "name", _name(stream))
@@ -225,9 +281,10 @@ def found(documents: DataFrame) -> DataFrame:
         .withColumn("kind", kind_of())
         .withColumn(
             "normal",
-            F.when(F.col("kind") == "number", F.regexp_replace("entity", r"\D", "")).otherwise(
-                F.lower("entity")
-            ),
+            F.when(F.col("kind") == "number", F.regexp_replace("entity", r"\D", ""))
+            .when(F.col("kind") == "key", F.col("entity"))
+            .when(F.col("kind") == "name", F.regexp_replace(F.lower("entity"), "[ \u00a0]+", " "))
+            .otherwise(F.lower("entity")),
         )
     )
 
@@ -235,7 +292,8 @@ def found(documents: DataFrame) -> DataFrame:
 def _grouped() -> Column:
     """The surrogate's digits with the entity's separators between them."""
     upto = lambda at: F.length(F.regexp_replace(F.substring("entity", F.lit(1), at + 1), r"\D", ""))
-    return F.array_join(
+    more = F.substring("surrogate", F.length("normal") + 1, F.length("surrogate"))
+    digits = F.array_join(
         F.transform(
             F.split("entity", ""),
             lambda char, at: F.when(
@@ -244,12 +302,14 @@ def _grouped() -> Column:
         ),
         "",
     )
+    return F.concat(digits, more)
 
 
 def _cased() -> Column:
-    upper = (F.col("entity") == F.upper("entity")) & (F.col("entity") != F.col("normal"))
+    upper = (F.col("entity") == F.upper("entity")) & (F.col("entity") != F.lower("entity"))
     return (
         F.when(F.col("kind") == "number", _grouped())
+        .when(F.col("kind") == "key", F.col("surrogate"))
         .when(upper, F.upper("surrogate"))
         .when(F.col("kind") == "name", F.initcap(F.regexp_replace("surrogate", "-", "- ")))
         .otherwise(F.col("surrogate"))
@@ -271,7 +331,7 @@ def with_surrogates(documents: DataFrame, key: str) -> DataFrame:
         F.col("_row.doc_id").alias("doc"), F.col("_version").alias("version"), F.col("_row.text").alias("text")
     )
     places = cut_lineage(
-        found(texts.filter(F.col("text").rlike(r"[0-9@]|\p{Lu}\p{L}+ \p{Lu}"))).distinct()
+        found(texts.filter(F.col("text").rlike(r"[0-9@]|\p{Lu}\p{L}+[ \u00a0]+\p{Lu}"))).distinct()
     )
     names = assigned(places.select("kind", "normal").distinct(), key)
     also = F.hash("kind", "normal")
