@@ -13,7 +13,10 @@ is at least 0.8. Equal sets are one class from the start.
   emit against lists to scan, over the sizes that the corpus has.
 
 A pair only counts at a key if, were this the first shingle that both sets share,
-enough could still follow: both must have it early enough for their sizes.
+enough could still follow: what stands before it in both is in one of them only.
+And every set has a sketch, bits that each of its shingles flips. Where the sketches
+of two sets differ, a shingle is in one of them only, so the bits that differ are a
+lower bound of such shingles. Pairs that cannot link by either bound are never rows.
 
 A list is not expanded into all its pairs. Its members are first compared with a
 few of them; verified links form components. Only members of one list that are
@@ -51,13 +54,18 @@ COMMON_BITS = 1 << 24
 #: half is common. Documents with a larger share of common ones are searched whole.
 SEARCHED = 0.25
 MOSTLY = 0.5
-#: Members of a list that all others are compared with, and rounds of that at most.
+#: Members of a list that all others are compared with (later times the square root of its
+#: length), and rounds of that at most.
 PIVOTS = 3
-PIVOT_ROUNDS = 3
+PIVOT_ROUNDS = 8
 #: Lists with more members than this are compared with pivots again before pair by pair,
 LONG_LIST = 64
-#: unless the pairs of all lists are at most this many times the comparisons with pivots.
-ROUND_COST = 8
+#: unless the open pairs of all lists are at most this many times the comparisons with pivots,
+ROUND_COST = 2
+#: or the last round left more than this share of the open pairs.
+LITTLE_GAIN = 0.75
+#: Bits of the sketch of a set of so many shingles; larger sets have twice as many until they fit.
+SKETCH_BITS = 512
 #: Sizes that the boundary is chosen among.
 MOST_SMALL = 24
 
@@ -106,6 +114,18 @@ def subset_keys(hashes: np.ndarray, boundary: int) -> list[int]:
     return keys
 
 
+def sketch(hashes: np.ndarray) -> np.ndarray:
+    """Bits that the hashes of a set flip, as whole numbers of 64 bits.
+
+    The two halves of a sketch, combined by xor, are the sketch of half as many bits.
+    """
+    bits = SKETCH_BITS
+    while bits < len(hashes):
+        bits *= 2
+    odd = np.bincount((hashes >> np.uint64(20)).astype(np.int64) & (bits - 1), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view("<i8")
+
+
 def _texts(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray]]:
     for i, x in enumerate(batch.column("text").cast(pa.binary())):
         yield i, shingles(x.as_py())
@@ -177,7 +197,7 @@ def common_shingles(statistics: DataFrame) -> np.ndarray:
 
 
 def keyed_sets(documents: DataFrame, bitmap: np.ndarray, boundary: int) -> DataFrame:
-    """doc_id, version, class, size, first shingles and subsets of every document with words."""
+    """doc_id, version, class, size, sketch, first shingles and subsets of every document with words."""
     spark = documents.sparkSession
     shared = spark.sparkContext.broadcast(bitmap)
 
@@ -195,12 +215,13 @@ def keyed_sets(documents: DataFrame, bitmap: np.ndarray, boundary: int) -> DataF
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows, classes, sizes, prefixes, subsets = [], [], [], [], []
+            rows, classes, sizes, sketches, prefixes, subsets = [], [], [], [], [], []
             for i, h in _texts(batch):
                 if len(h):
                     rows.append(i)
                     classes.append(set_hash(h))
                     sizes.append(len(h))
+                    sketches.append(sketch(h))
                     prefixes.append(first(h))
                     small = subset_keys(h, boundary) if len(h) <= boundary else []
                     subsets.append(np.array(small, np.int64))
@@ -211,16 +232,19 @@ def keyed_sets(documents: DataFrame, bitmap: np.ndarray, boundary: int) -> DataF
                     batch.column("version").take(at),
                     pa.array(classes, pa.int64()),
                     pa.array(sizes, pa.int32()),
+                    lists(sketches),
                     lists(prefixes),
                     lists(subsets),
                 ],
-                names=["doc_id", "version", "class", "size", "prefix", "subsets"],
+                names=["doc_id", "version", "class", "size", "sketch", "prefix", "subsets"],
             )
 
     docs = _documents(documents)
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.mapInArrow(
-        emit, f"doc_id {kind}, version long, class long, size int, prefix array<long>, subsets array<long>"
+        emit,
+        f"doc_id {kind}, version long, class long, size int, sketch array<long>, prefix array<long>,"
+        " subsets array<long>",
     )
 
 
@@ -303,26 +327,52 @@ def shared_keys(sets: DataFrame) -> DataFrame:
     )
 
 
+def _differing_bits() -> str:
+    """SQL: in how many bits the sketches differ, the longer one folded."""
+    words = SKETCH_BITS // 64
+    short = " + ".join(f"bit_count(l.sketch[{i}] ^ r.sketch[{i}])" for i in range(words))
+
+    def folded(a: str, b: str) -> str:
+        halves = f"zip_with(slice({a}, 1, size({b})), slice({a}, size({b}) + 1, size({b})), (x, y) -> x ^ y)"
+        half = f"if(size({a}) = size({b}), {a}, {halves})"
+        return f"aggregate(zip_with({half}, {b}, (x, y) -> bit_count(x ^ y)), 0, (n, x) -> n + x)"
+
+    return (
+        f"case when size(l.sketch) = {words} and size(r.sketch) = {words} then {short}"
+        f" when size(l.sketch) >= size(r.sketch) then {folded('l.sketch', 'r.sketch')}"
+        f" else {folded('r.sketch', 'l.sketch')} end"
+    )
+
+
 def _possible() -> str:
-    """SQL: sizes fit, and as much can follow this key in both sets as a link needs."""
+    """SQL: sizes fit, and neither the key's places nor the sketches rule a link out.
+
+    Sizes that fit are less than twice as large as each other, and so are sketches.
+    """
     need = "(4 * (l.size + r.size) + 8) div 9"
+    apart = f"l.size + r.size - 2 * ({need})"
     return (
         "5 * least(l.size, r.size) >= 4 * greatest(l.size, r.size)"
-        f" and l.rank <= l.size - {need} and r.rank <= r.size - {need} and l.root <> r.root"
+        f" and l.rank <= l.size - {need} and r.rank <= r.size - {need}"
+        f" and l.rank + r.rank <= {apart} and l.root <> r.root"
+        f" and {_differing_bits()} <= {apart}"
     )
 
 
 def _pivots(lists: DataFrame, round_: int) -> DataFrame:
-    """A few members of each list: the lowest after flipping some bits of the class.
+    """A few members of each list.
 
-    At first the same bits everywhere, so that lists of the same members agree and
-    few pairs arise; later bits of the list's own, so that a member whose lists are
-    long meets many different ones.
+    At first the lowest after flipping the same bits everywhere. Later those with the
+    lowest hashes, about ``PIVOTS`` times the square root of the list's length, so that
+    a member is soon linked if it has links. Either way lists of the same members
+    agree, and few pairs arise.
     """
+    if round_ > 0:
+        draw = F.pmod(F.xxhash64("class", F.lit(round_)), F.lit(1 << 31)) / (1 << 31)
+        return lists.filter(draw * F.sqrt("_n") < PIVOTS)
     lowest = []
     for k in range(PIVOTS):
-        number = F.lit(round_ * PIVOTS + k).cast("long")
-        flip = F.xxhash64(number) if round_ == 0 else F.xxhash64(number, "key")
+        flip = F.xxhash64(F.lit(k).cast("long"))
         lowest.append(F.min(F.col("class").bitwiseXOR(flip)).bitwiseXOR(flip))
     chosen = lists.groupBy("key").agg(F.array_distinct(F.array(*lowest)).alias("_chosen"))
     return lists.join(chosen.select("key", F.explode("_chosen").alias("class")), ["key", "class"])
@@ -333,12 +383,14 @@ def links(documents: DataFrame, sets: DataFrame, classes: DataFrame) -> DataFram
 
     Rounds compare the members of lists that are still in different components:
     with a few of their list first, and again while that costs less than each with
-    each. The last round leaves no possible pair untried.
+    each and brings members together. The last round leaves no possible pair untried:
+    in each list, members outside its largest component are compared with all.
     """
     spark = documents.sparkSession
-    lists = cut_lineage(shared_keys(sets).withColumn("root", F.col("class")))
+    keys = shared_keys(sets).withColumn("root", F.col("class"))
+    lists = cut_lineage(keys.join(classes.select("class", "sketch"), "class"))
     members = lists.drop("root")
-    tried = found = roots = None
+    tried = found = roots = before = None
     round_ = 0
     while True:
         also = F.hash("key").alias("_also")
@@ -348,28 +400,37 @@ def links(documents: DataFrame, sets: DataFrame, classes: DataFrame) -> DataFram
             if left.isEmpty():
                 break
         else:
+            parts = lists.groupBy("key", "root").agg(F.count("*").alias("m"))
             open_ = (
-                lists.groupBy("key")
-                .agg(F.min("root").alias("_low"), F.max("root").alias("_high"), F.count("*").alias("_n"))
-                .filter("_low < _high")
+                parts.groupBy("key")
+                .agg(F.sum("m").alias("_n"), F.max(F.struct("m", "root")).alias("_most"))
+                .filter("_most.m < _n")
+                .select("key", "_n", F.col("_most.m").alias("_m"), F.col("_most.root").alias("_major"))
             )
-            open_ = cut_lineage(open_.select("key", "_n"))
+            open_ = cut_lineage(open_)
             n = F.col("_n").cast("double")
-            cost = open_.agg(F.sum(n * n).alias("pairs"), F.sum(n).alias("rows"), F.max("_n").alias("longest")).first()
-            if cost.rows is None:
+            cost = open_.agg(
+                F.sum(n * (n - F.col("_m"))).alias("pairs"),
+                F.sum(n * PIVOTS * F.sqrt(n)).alias("pivoted"),
+                F.max("_n").alias("longest"),
+            ).first()
+            if cost.pairs is None:
                 break
             last = (
                 round_ >= PIVOT_ROUNDS
                 or cost.longest <= LONG_LIST
-                or cost.pairs <= ROUND_COST * PIVOTS * cost.rows
+                or cost.pairs <= ROUND_COST * cost.pivoted
+                or (before is not None and cost.pairs > LITTLE_GAIN * before)
             )
+            before = cost.pairs
             left = cut_lineage(
                 lists.select("*", also).join(
-                    open_.select("key", also).hint("merge"), ["key", "_also"], "left_semi"
+                    open_.select("key", "_n", "_major", also).hint("merge"), ["key", "_also"]
                 )
             )
             release(open_, lists)
-        right = left if last else _pivots(left, round_)
+        # Of two members with different roots one at least is not of the list's main root.
+        right = left.filter("root <> _major") if last else _pivots(left, round_)
         pairs = (
             left.alias("l")
             .join(right.alias("r").hint("merge"), ["key", "_also"])
@@ -416,7 +477,9 @@ def jaccard_components(documents: DataFrame) -> DataFrame:
     sets = cut_lineage(keyed_sets(documents, bitmap, boundary))
     place = F.min(F.struct("doc_id", "version"))
     classes = cut_lineage(
-        sets.groupBy("class").agg(F.min("size").alias("size"), place.alias("place")).select("class", "size", "place.*")
+        sets.groupBy("class")
+        .agg(F.min("size").alias("size"), F.first("sketch").alias("sketch"), place.alias("place"))
+        .select("class", "size", "sketch", "place.*")
     )
     roots = links(documents, sets, classes)
     ids = (

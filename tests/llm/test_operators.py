@@ -493,6 +493,51 @@ def test_jaccard_of_small_sets_and_a_large_near_group(spark, monkeypatch):
     assert found == brute_components(texts)
 
 
+@pytest.mark.parametrize("replaced, links_some", [(4, True), (6, False)])
+def test_pairs_of_near_copies_that_do_not_link_grow_with_their_number(spark, monkeypatch, replaced, links_some):
+    verify, seen = jaccard.linked, []
+    monkeypatch.setattr(jaccard, "linked", lambda pairs, *rest: seen.append(pairs.count()) or verify(pairs, *rest))
+    pairs = {}
+    for group in (100, 400):
+        rng = random.Random(group)
+        texts = {}
+        for i in range(group):
+            words = [f"b{k}" for k in range(200)]
+            for at in rng.sample(range(200), replaced):
+                words[at] = f"y{rng.randrange(10**9)}"
+            texts[i] = " ".join(words)
+        frame = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(4)
+        seen.clear()
+        found = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.jaccard_components(frame).collect()}
+        assert found == brute_components(texts)
+        assert (len({c for _, c in found.values()}) < group) == (links_some and group == 400)
+        pairs[group] = sum(seen)
+    assert pairs[400] <= 400 and pairs[100] <= 100, "of 79,800 and 4,950"
+
+
+def test_sketches_bound_what_differs():
+    rng = np.random.default_rng(3)
+    for a_size, b_size in ((30, 35), (500, 520), (1000, 1100), (3000, 2500)):
+        both = rng.integers(1 << 63, size=a_size + b_size, dtype=np.uint64)
+        a, b = np.unique(both[:a_size]), np.unique(both[a_size // 5 : a_size // 5 + b_size])
+        x, y = (np.unpackbits(jaccard.sketch(h).view(np.uint8), bitorder="little") for h in (a, b))
+        while len(x) > len(y):
+            x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+        while len(y) > len(x):
+            y = y[: len(y) // 2] ^ y[len(y) // 2 :]
+        differ = len(np.setxor1d(a, b))
+        assert 0 < (x != y).sum() <= differ and (x != y).sum() % 2 == differ % 2
+
+
+def test_long_and_short_sketches_meet(spark):
+    base = [f"b{k}" for k in range(540)]  # around 512 shingles a sketch doubles
+    texts = {i: " ".join(base[: 500 + 3 * i]) for i in range(14)}
+    texts |= {20 + i: " ".join([f"z{i}"] * 3 + base[60 * i :]) for i in range(4)}
+    frame = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    found = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.jaccard_components(frame).collect()}
+    assert found == brute_components(texts)
+
+
 def test_boundary_and_subsets():
     assert jaccard.boundary_by_cost({}, 1.0) == 0
     low, high = (jaccard.boundary_by_cost({s: 10 for s in range(1, 20)}, x) for x in (1.0, 50.0))
