@@ -21,7 +21,7 @@ no rows. A text is tokenized whole however long it is. Only doc_id and text are
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from functools import cache
 from itertools import chain
 from typing import NamedTuple
@@ -88,21 +88,22 @@ def piece_side(model_file: str | None = None) -> Side:
     return Side(spelled, np.array([len(x) for x in spelled], np.int64))
 
 
-def byte_ids(text: str, coder: Coder) -> list[int]:
+def byte_ids(text: str, coder: Coder) -> np.ndarray:
     """Ids under the byte-level vocabulary; strings of special tokens are plain text."""
     try:
-        return coder.ranks.encode_ordinary(text)
+        return coder.ranks.encode_to_numpy(text, disallowed_special=())
     except ValueError:  # a run too long for the pattern's stack
         if coder.tokenizer_file is None:
             raise
-    return _plain_tokenizer(coder.tokenizer_file).encode(text, add_special_tokens=False).ids
+    ids = _plain_tokenizer(coder.tokenizer_file).encode(text, add_special_tokens=False).ids
+    return np.array(ids, np.uint32)
 
 
 class Aligned(NamedTuple):
     """Tokens of several documents and what connects them.
 
     ``a`` and ``b`` hold doc, id, start and end (bytes from the start of the first
-    document) and group; ``link_a`` and ``link_b`` are places in them, ordered by A and B.
+    document) and group; ``link_a`` and ``link_b`` are places in them.
     """
 
     a: pd.DataFrame
@@ -111,16 +112,18 @@ class Aligned(NamedTuple):
     link_b: np.ndarray
 
 
-def _tokens(ids: list[list[int]], side: Side) -> pd.DataFrame:
+def _tokens(ids: Sequence[Sequence[int]], side: Side) -> pd.DataFrame:
     counts = [len(x) for x in ids]
-    flat = np.fromiter(chain.from_iterable(ids), np.int64, sum(counts))
+    flat = np.concatenate([np.empty(0, np.int64), *[np.asarray(x, np.int64) for x in ids]])
     lengths = side.lengths[flat]
     end = np.cumsum(lengths)
     doc = np.repeat(np.arange(len(ids)), counts)
     return pd.DataFrame({"doc": doc, "id": flat, "start": end - lengths, "end": end})
 
 
-def align(a_ids: list[list[int]], b_ids: list[list[int]], a_side: Side, b_side: Side) -> Aligned:
+def align(
+    a_ids: Sequence[Sequence[int]], b_ids: Sequence[Sequence[int]], a_side: Side, b_side: Side
+) -> Aligned:
     """Groups and links of documents whose tokens spell the same bytes on both sides."""
     a, b = _tokens(a_ids, a_side), _tokens(b_ids, b_side)
 
@@ -137,11 +140,14 @@ def align(a_ids: list[list[int]], b_ids: list[list[int]], a_side: Side, b_side:
     new = a["start"].to_numpy()[under] != b["start"].to_numpy()
     link_a = np.concatenate([np.arange(len(a)), under[new]])
     link_b = np.concatenate([over, np.flatnonzero(new)])
-    order = np.lexsort((link_b, link_a))
-    for tokens, others in ((a, b), (b, a)):
-        ends = np.intersect1d(tokens["end"].to_numpy(), others["end"].to_numpy(), assume_unique=True)
-        tokens["group"] = np.searchsorted(ends, tokens["end"].to_numpy())
-    return Aligned(a, b, link_a[order], link_b[order])
+    a_end, b_end = a["end"].to_numpy(), b["end"].to_numpy()
+    meets = np.searchsorted(b_end, a_end)  # both sides of a document end together
+    shared = b_end[meets] == a_end
+    shared_b = np.zeros(len(b), bool)
+    shared_b[meets[shared]] = True
+    for tokens, last in ((a, shared), (b, shared_b)):
+        tokens["group"] = np.cumsum(last) - last
+    return Aligned(a, b, link_a, link_b)
 
 
 @cache
@@ -156,15 +162,18 @@ def spelled_groups(found: Aligned, a_entries: int, b_entries: int) -> list[bytes
     a, b = found.a, found.b
     entries = max(a_entries, b_entries)
     table = _marked(entries)
-    last_a = np.append(np.diff(a["group"]) > 0, True)
-    last_b = np.append(np.diff(b["group"]) > 0, True)
+    if not len(a):
+        return []
+    last_a = np.append(np.diff(a["group"].to_numpy()) > 0, True)
+    last_b = np.append(np.diff(b["group"].to_numpy()) > 0, True)
     text = np.empty(len(a) + len(b), np.int64)
     # An A token stands behind the B tokens of the groups before, a B token behind the
     # A tokens of its group and those before.
-    text[np.arange(len(a)) + np.searchsorted(b["group"], a["group"])] = a["id"] + last_a * entries
-    after = np.searchsorted(a["group"], b["group"], side="right")
-    text[np.arange(len(b)) + after] = b["id"] + 2 * last_b * entries
-    documents = int(a["doc"].iloc[-1]) + 1 if len(a) else 0
+    a_upto, b_upto = np.cumsum(np.bincount(a["group"])), np.cumsum(np.bincount(b["group"]))
+    before = np.concatenate([[0], b_upto])[a["group"]]
+    text[np.arange(len(a)) + before] = a["id"] + last_a * entries
+    text[np.arange(len(b)) + a_upto[b["group"]]] = b["id"] + 2 * last_b * entries
+    documents = int(a["doc"].iloc[-1]) + 1
     sizes = np.bincount(a["doc"], minlength=documents) + np.bincount(b["doc"], minlength=documents)
     spelled = list(map(table.__getitem__, text.tolist()))
     ends = np.cumsum(sizes).tolist()
@@ -180,10 +189,16 @@ class Tokenizers(NamedTuple):
     model_file: str | None = None
 
 
-def _both(texts: list[str | None], files: Tokenizers) -> tuple[list[list[int]], list[list[int]]]:
-    """Ids of both sides, none for texts that have no tokens."""
+def _both(
+    texts: list[str | None], files: Tokenizers
+) -> tuple[list[Sequence[int]], list[Sequence[int]]]:
+    """Ids of both sides, none for texts that have no tokens.
+
+    Byte-level tokens are runs of the text's own bytes in order, so that their
+    length says whether they are all of it. Pieces are compared byte by byte.
+    """
     coder = encoder(files.ranks_file, files.pattern, files.tokenizer_file)
-    a_spelled, b_spelled = byte_side(coder).spelled, piece_side(files.model_file).spelled
+    a_lengths, b_spelled = byte_side(coder).lengths, piece_side(files.model_file).spelled
     plain = [x or "" for x in texts]
     a_ids = [byte_ids(f" {x}", coder) if x else [] for x in plain]
     b_ids = _pieces(files.model_file).encode(plain, num_threads=1)
@@ -192,7 +207,7 @@ def _both(texts: list[str | None], files: Tokenizers) -> tuple[list[list[int]],
         if (
             not text
             or b"".join(map(b_spelled.__getitem__, b_ids[i])) != whole
-            or b"".join(map(a_spelled.__getitem__, a_ids[i])) != whole
+            or a_lengths[a_ids[i]].sum() != len(whole)
         ):
             a_ids[i] = b_ids[i] = []
     return a_ids, b_ids
@@ -223,6 +238,8 @@ def links(documents: DataFrame, files: Tokenizers = Tokenizers()) -> DataFrame:
         for chunk in chain.from_iterable(map(_chunks, batches)):
             a_ids, b_ids = _both(chunk.column("text").to_pylist(), files)
             found = align(a_ids, b_ids, a_side, b_side)
+            order = np.lexsort((found.link_b, found.link_a))
+            found = found._replace(link_a=found.link_a[order], link_b=found.link_b[order])
             a = found.a.iloc[found.link_a].reset_index(drop=True)
             b = found.b.iloc[found.link_b].reset_index(drop=True)
             first = found.a.groupby("doc")["start"].min()
@@ -266,7 +283,7 @@ def _digested(chunk: pa.RecordBatch, files: Tokenizers) -> pa.RecordBatch:
     pairs, place, totals = np.unique(ids, return_inverse=True, return_counts=True)
     own, times = np.unique(link_docs * max(1, len(pairs)) + place, return_counts=True)
     offsets = np.searchsorted(own, np.arange(rows + 1) * max(1, len(pairs)))
-    group_ends = np.append(np.diff(found.a["group"]) > 0, True)[: len(a_docs)]
+    group_ends = np.append(np.diff(found.a["group"].to_numpy()) > 0, True)[: len(a_docs)]
     spelled = spelled_groups(found, len(a_side.spelled), len(b_side.spelled))
     spelled += [b""] * (rows - len(spelled))
     counts = [
