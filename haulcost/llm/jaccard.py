@@ -64,6 +64,8 @@ LONG_LIST = 64
 ROUND_COST = 2
 #: or the last round left more than this share of the open pairs.
 LITTLE_GAIN = 0.75
+#: So few open pairs in all are compared sooner than another round has started.
+FEW_PAIRS = 20_000_000
 #: Bits of the sketch of a set of so many shingles; larger sets have twice as many until they fit.
 SKETCH_BITS = 512
 #: Sizes that the boundary is chosen among.
@@ -251,17 +253,10 @@ def keyed_sets(documents: DataFrame, bitmap: np.ndarray, boundary: int) -> DataF
 def linked(pairs: DataFrame, classes: DataFrame, documents: DataFrame) -> DataFrame:
     """Those of the pairs (a, b) of classes whose sets truly link.
 
-    Sizes rule out most. For the rest the two texts meet and the shingles are
-    counted; only texts of classes in some pair travel.
+    The two texts meet and the shingles are counted; only texts of classes in some
+    pair travel.
     """
-    sizes = classes.select("class", "size")
-    possible = cut_lineage(
-        pairs.join(sizes.select(F.col("class").alias("a"), F.col("size").alias("a_size")), "a")
-        .join(sizes.select(F.col("class").alias("b"), F.col("size").alias("b_size")), "b")
-        .filter("5 * least(a_size, b_size) >= 4 * greatest(a_size, b_size)")
-        .select("a", "b")
-    )
-    wanted = possible.select(F.col("a").alias("class")).union(possible.select("b")).distinct()
+    wanted = pairs.select(F.col("a").alias("class")).union(pairs.select("b")).distinct()
     places = classes.join(wanted, "class").select("class", "doc_id", "version")
     texts = cut_lineage(
         _documents(documents)
@@ -289,11 +284,11 @@ def linked(pairs: DataFrame, classes: DataFrame, documents: DataFrame) -> DataFr
                     good.append(i)
             yield batch.select(["a", "b"]).take(pa.array(good, pa.int32()))
 
-    both = possible.join(
+    both = pairs.join(
         texts.select(F.col("class").alias("a"), F.col("text").alias("a_text")).hint("merge"), "a"
     ).join(texts.select(F.col("class").alias("b"), F.col("text").alias("b_text")).hint("merge"), "b")
     found = cut_lineage(both.select("a", "b", "a_text", "b_text").mapInArrow(verify, "a long, b long"))
-    release(possible, texts)
+    release(texts)
     return found
 
 
@@ -379,7 +374,7 @@ def _pivots(lists: DataFrame, round_: int) -> DataFrame:
 
 
 def links(documents: DataFrame, sets: DataFrame, classes: DataFrame) -> DataFrame:
-    """(node, root) of every class that links with another.
+    """(node, root) of every class that links with another; ``sets`` is released once it is read.
 
     Rounds compare the members of lists that are still in different components:
     with a few of their list first, and again while that costs less than each with
@@ -389,7 +384,8 @@ def links(documents: DataFrame, sets: DataFrame, classes: DataFrame) -> DataFram
     spark = documents.sparkSession
     keys = shared_keys(sets).withColumn("root", F.col("class"))
     lists = cut_lineage(keys.join(classes.select("class", "sketch"), "class"))
-    members = lists.drop("root")
+    release(sets)
+    base, members = lists, lists.drop("root")
     tried = found = roots = before = None
     round_ = 0
     while True:
@@ -419,10 +415,13 @@ def links(documents: DataFrame, sets: DataFrame, classes: DataFrame) -> DataFram
             last = (
                 round_ >= PIVOT_ROUNDS
                 or cost.longest <= LONG_LIST
+                or cost.pairs <= FEW_PAIRS
                 or cost.pairs <= ROUND_COST * cost.pivoted
                 or (before is not None and cost.pairs > LITTLE_GAIN * before)
             )
             before = cost.pairs
+            if last:
+                release(base)
             left = cut_lineage(
                 lists.select("*", also).join(
                     open_.select("key", "_n", "_major", also).hint("merge"), ["key", "_also"]
@@ -481,9 +480,10 @@ def jaccard_components(documents: DataFrame) -> DataFrame:
         .agg(F.min("size").alias("size"), F.first("sketch").alias("sketch"), place.alias("place"))
         .select("class", "size", "sketch", "place.*")
     )
+    places = cut_lineage(sets.select("doc_id", "version", "class", "size"))
     roots = links(documents, sets, classes)
     ids = (
-        sets.groupBy("class")
+        places.groupBy("class")
         .agg(F.min("doc_id").alias("lowest"))
         .join(roots.withColumnRenamed("node", "class"), "class", "left")
         .withColumn("root", F.coalesce("root", "class"))
@@ -494,7 +494,7 @@ def jaccard_components(documents: DataFrame) -> DataFrame:
         .join(lowest.withColumn("_also", F.hash("root")).hint("merge"), ["root", "_also"])
         .select("class", "root", "component_id")
     )
-    slim = sets.select("doc_id", "version", "class", "size").withColumn("_also", F.hash("class"))
+    slim = places.withColumn("_also", F.hash("class"))
     with_words = slim.join(ids.withColumn("_also", F.hash("class")).hint("merge"), ["class", "_also"])
     empty = _documents(documents).filter(
         ~F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
