@@ -22,6 +22,8 @@ from haulcost.operators import (
     variance,
 )
 from haulcost.plans import parameters as p
+from haulcost.sources import layout
+from haulcost.sources.scratch import new_folder
 from haulcost.sources.star import star_ledger
 
 Job = Callable[[DataFrame], DataFrame]
@@ -242,6 +244,21 @@ def _document_words(spark: SparkSession, folder: str) -> DataFrame:
     return frequency.word_frequency(spark.read.parquet(f"{folder}/documents.parquet"), "text")
 
 
+def _stored(spark: SparkSession, folder: str) -> DataFrame:
+    """The derived ledger, stored by month and load."""
+    path = new_folder(spark)
+    layout.store_ledger(star_ledger(spark, folder), path)
+    return layout.stored_ledger(spark, path)
+
+
+def _refreshed(spark: SparkSession, folder: str) -> DataFrame:
+    """Loads' fuel totals, stored before the late lines came and refreshed with them."""
+    ledger, path = star_ledger(spark, folder), new_folder(spark)
+    layout.refresh(_loads, ledger.filter(F.col("created_on") < p.LATE_FROM), path)
+    layout.refresh(_loads, ledger, path)
+    return layout.refreshed_result(spark, path, _loads(ledger))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Name to callable over a session and a folder of parquet tables."""
 
@@ -250,4 +267,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
     catalogue = {name: over_ledger(job) for name, job in JOBS.items()}
     catalogue["word_frequency_documents"] = _document_words
+    catalogue["load_fuel_totals_stored"] = lambda spark, folder: _loads(_stored(spark, folder))
+    catalogue["linehaul_stored"] = lambda spark, folder: JOBS["linehaul"](_stored(spark, folder))
+    catalogue["load_fuel_totals_refreshed"] = _refreshed
     return catalogue

@@ -17,3 +17,5 @@ CARRIER = "CARRIER_3"
 MIXED_LINES = 1
 # Doubles that depend on the order of summation are compared to this many digits.
 DIGITS = 9
+# Lines created from this day on come late to the refreshed result.
+LATE_FROM = "1997-09-01"
