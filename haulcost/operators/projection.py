@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from haulcost.functions import buckets
 from haulcost.functions.stats import exact_medians, mean, ratio, strict, trim_to_quantiles
-from haulcost.sources.scratch import cut_lineage
+from haulcost.sources.scratch import cut_lineage, release
 
 # Miles per gallon, fuel charge per gallon, fuel cost per gallon.
 MILES_PER_GALLON = (5, 6.5, 8)
@@ -71,6 +71,38 @@ def sample_loads(loads: DataFrame, fraction: float = 1.0, seed: int = 123) -> Da
     return loads.where(draw < int(fraction * 2**64) - 2**63)
 
 
+def sample_of(loads: DataFrame, number: int, seed: int = 123) -> DataFrame:
+    """All rows of exactly ``number`` loads drawn at random, or of all if there are fewer.
+
+    Drawn are the loads with the lowest keyed hashes, so that the draw is the same on
+    any partitioning, and draws of parts of the loads merge. The largest hash drawn is
+    found digit by digit: a level counts the loads for every next four digits, 65,536
+    numbers whatever the data, and goes on within those where the number is reached.
+    Nothing is sorted.
+    """
+    text = F.concat(F.lit(f"{seed}-"), F.coalesce(F.col("cass_shipment_id"), F.lit("")))
+    hashed = F.md5(text.cast("binary"))
+    hashes = cut_lineage(loads.select(hashed.alias("hash")).distinct())
+    upto, needed = "", number
+    while needed > 0 and len(upto) < 32:
+        wanted = hashes.filter(F.col("hash").startswith(upto)) if upto else hashes
+        counts = wanted.groupBy(F.substring("hash", 1, len(upto) + 4).alias("digits")).count().collect()
+        if sum(r["count"] for r in counts) <= needed:
+            upto = upto or "f"
+            break
+        for digits, n in sorted(map(tuple, counts)):
+            if n >= needed:
+                upto = digits
+                break
+            needed -= n
+        if n == needed:
+            break
+    release(hashes)
+    if number <= 0:
+        return loads.limit(0)
+    return loads.where(F.substring(hashed, 1, len(upto)) <= upto)
+
+
 def projected_loads(loads: DataFrame, trim: bool = False) -> DataFrame:
     """Loads of one charge type between known regions, with their projected fuel.
 

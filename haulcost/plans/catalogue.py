@@ -223,6 +223,7 @@ JOBS: dict[str, Job] = {
     # Fuel projection
     "trip_fuel_cost": projection.trip_fuel_cost,
     "sample_loads": lambda x: projection.sample_loads(_loads(x)),
+    "sample_of_loads": lambda x: projection.sample_of(_loads(x), p.SAMPLE),
     "projected_loads": lambda x: _rounded(_projected(x), "mid_"),
     "projected_loads_trimmed": lambda x: _rounded(
         projection.projected_loads(_loads(x), True), "mid_"

@@ -19,3 +19,5 @@ MIXED_LINES = 1
 DIGITS = 9
 # Lines created from this day on come late to the refreshed result.
 LATE_FROM = "1997-09-01"
+# Loads that the sample of a given number draws.
+SAMPLE = 1000

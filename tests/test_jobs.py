@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import hashlib
 import random
 import statistics
 from decimal import Decimal
@@ -659,6 +660,20 @@ def test_trip_cost_has_every_combination(ledger):
     assert one.trip_cost == pytest.approx(216) and one.trip_surcharge == pytest.approx(96)
 
 
+@pytest.mark.parametrize("number", [0, 1, 2, 37, 1999, 2000, 5000])
+def test_sample_of_a_number_has_that_many_loads(spark, number):
+    ids = [f"l{i}" for i in range(2000)]
+    rows = [(x, k) for x in ids for k in range(1 + len(x) % 2)]
+    loads = spark.createDataFrame(rows, "cass_shipment_id string, k int")
+    lowest = sorted(ids, key=lambda x: hashlib.md5(f"7-{x}".encode()).hexdigest())[:number]
+    for parts in (1, 5):
+        drawn = projection.sample_of(loads.repartition(parts), number, 7).collect()
+        assert sorted(map(tuple, drawn)) == sorted(r for r in rows if r[0] in set(lowest))
+    halves = [projection.sample_of(loads.filter(f"pmod(hash(cass_shipment_id), 2) = {h}"), number, 7) for h in (0, 1)]
+    merged = projection.sample_of(halves[0].unionByName(halves[1]), number, 7)
+    assert {r.cass_shipment_id for r in merged.collect()} == set(lowest)
+
+
 def test_sample_takes_whole_loads_and_repeats(spark):
     loads = spark.range(2000).select(
         (F.col("id") % 1000).cast("string").alias("cass_shipment_id"), "id"
