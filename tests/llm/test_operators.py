@@ -603,7 +603,8 @@ def test_neighbours_recall(spark, monkeypatch, factor, least):
     centres = rng.normal(size=(12, 16))
     vectors = centres[rng.integers(12, size=500)] + 0.2 * rng.normal(size=(500, 16))
     vectors[10] = vectors[11] = vectors[12]
-    frame = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)], "id long, vector array<double>")
+    rows = [(i, v.tolist()) for i, v in enumerate(vectors)]
+    frame = neighbours.usable(spark.createDataFrame(rows, "id long, v array<double>"), "id", "v")
     queries = frame.filter("id % 10 = 0")
     found = neighbours.nearest(frame, queries, 15, factor).collect()
     got = collections.defaultdict(list)
@@ -620,6 +621,43 @@ def test_neighbours_recall(spark, monkeypatch, factor, least):
     assert hits >= least * total
 
 
+def test_neighbours_equal_sql_on_shared_ids_and_lengths(spark, monkeypatch, tmp_path):
+    monkeypatch.setattr(neighbours, "SHARD_ROWS", 40)
+    monkeypatch.setattr(neighbours, "BLOCK_ROWS", 6)
+    rng = random.Random(3)
+    hot = [float(rng.randint(-3, 3)) for _ in range(6)] + [1.0]
+    rows = [(rng.randrange(150), hot) for _ in range(120)]  # a third of all rows, of few ids
+    for _ in range(240):
+        size = rng.choice([5, 7, 7, 7])
+        rows.append((rng.randrange(150), [float(rng.randint(-3, 3)) for _ in range(size)]))
+    rows += [(20, [1.0] * n) for n in range(11, 15)]  # lengths of one row each
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    frame.write.parquet(str(tmp_path / "embeddings.parquet"))
+    got = neighbours.op9_nearest_neighbours(spark, str(tmp_path)).collect()
+    engine = duckdb.connect()
+    engine.execute(f"create view embeddings as select * from '{tmp_path}/embeddings.parquet/*.parquet'")
+    expected = engine.execute(neighbours.OP9_SQL).fetchall()
+    assert sorted(tuple(r) for r in got) == sorted(expected)
+
+
+def test_neighbours_far_cells_are_not_searched(spark, monkeypatch):
+    monkeypatch.setattr(neighbours, "SHARD_ROWS", 50)
+    rng = np.random.default_rng(4)
+    centres = 20 * rng.normal(size=(10, 8))
+    vectors = centres[rng.integers(10, size=1000)] + 0.1 * rng.normal(size=(1000, 8))
+    frame = neighbours.usable(
+        spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)], "id long, v array<double>"), "id", "v"
+    )
+    sent = []
+    routed = neighbours._routed
+    monkeypatch.setattr(
+        neighbours, "_routed", lambda q, p, first: [sent.append(routed(q, p, first)), sent[-1]][1]
+    )
+    found = neighbours.nearest(frame, frame.filter("id % 20 = 0"), 5).collect()
+    assert len(found) == 250
+    assert sent[1].count() < 50 * 20 / 2, "cells of the second search, of 20 cells for each of 50 queries"
+
+
 # --- packing --------------------------------------------------------------------------------
 
 
