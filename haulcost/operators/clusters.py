@@ -2,23 +2,16 @@
 
 from __future__ import annotations
 
-from multiprocessing.pool import ThreadPool
-
-from pyspark import inheritable_thread_target
-from pyspark.ml.clustering import KMeans, KMeansModel
 from pyspark.ml.feature import PCA, StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import LinearRegression
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from haulcost.operators import kmeans
 from haulcost.operators.energy import AMOUNT, FUEL_PAIR, LANE_KEYS, SCALED, TYPE
 from haulcost.sources.scratch import cut_lineage
 
-#: Rounds of a fit unless asked otherwise; more change nothing once a fit has converged.
-ROUNDS = 10
-FITS_AT_ONCE = 4
-
 
 def fuel_features(scaled: DataFrame) -> DataFrame:
     """Feature vectors of the two fuel types, stored because every fit reads them.
@@ -34,33 +27,28 @@ def fuel_features(scaled: DataFrame) -> DataFrame:
     return cut_lineage(assembler.transform(pair.select("*", *known)).select(*pair.columns, "features"))
 
 
-def _fit(features: DataFrame, k: int, seed: int, rounds: int) -> KMeansModel:
-    return KMeans(k=k, seed=seed, maxIter=rounds).fit(features)
-
-
 def kmeans_elbow(
-    features: DataFrame, max_k: int = 15, seed: int = 123, rounds: int = ROUNDS
+    features: DataFrame, max_k: int = 15, seed: int = 123, rounds: int = kmeans.ROUNDS
 ) -> DataFrame:
-    """Sum of squares within clusters for 1 to ``max_k`` clusters."""
-    spark = features.sparkSession
-    schema = "k int, within_ss double"
-    if features.isEmpty():
-        return spark.createDataFrame([], schema)
-    whole = features.agg(
-        F.lit(1).alias("k"),
-        sum(F.coalesce(F.var_pop(c) * F.count(c), F.lit(0.0)) for c in SCALED).alias("within_ss"),
-    )
+    """Sum of squares within clusters for 1 to ``max_k`` clusters, all in the same scans."""
+    numbers = list(range(1, max_k + 1))
+    _, within = kmeans.fit(features.select(*SCALED), SCALED, numbers, seed, rounds)
+    found = [(k, float(ss)) for k, ss in zip(numbers, within, strict=False)]
+    return features.sparkSession.createDataFrame(found, "k int, within_ss double").orderBy("k")
 
-    def cost(k: int) -> tuple[int, float]:
-        return k, float(_fit(features, k, seed, rounds).summary.trainingCost)
 
-    with ThreadPool(FITS_AT_ONCE) as pool:
-        costs = pool.map(inheritable_thread_target(spark)(cost), range(2, max_k + 1))
-    return whole.unionByName(spark.createDataFrame(costs, schema)).orderBy("k")
+def lane_clusters(
+    features: DataFrame, k: int = 4, seed: int = 123, rounds: int = kmeans.ROUNDS
+) -> DataFrame:
+    """The lanes and their features with the cluster of each."""
+    fitted, _ = kmeans.fit(features, SCALED, [k], seed, rounds)
+    if fitted is None:
+        return features.withColumn("cluster", F.lit(0))
+    return fitted.select(*features.columns, F.col("now")[0].alias("cluster"))
 
 
 def kmeans_clusters(
-    features: DataFrame, k: int = 4, seed: int = 123, rounds: int = ROUNDS
+    features: DataFrame, k: int = 4, seed: int = 123, rounds: int = kmeans.ROUNDS
 ) -> DataFrame:
     """Cluster of each lane, and its place on the first two principal components."""
     if features.isEmpty():
@@ -70,16 +58,14 @@ def kmeans_clusters(
             F.lit(0.0).alias("pc1"),
             F.lit(0.0).alias("pc2"),
         )
-    clustered = _fit(features, k, seed, rounds).transform(features)
+    clustered = lane_clusters(features, k, seed, rounds)
     centre = StandardScaler(
         inputCol="features", outputCol="centred", withMean=True, withStd=False
     ).fit(features)
     centred = centre.transform(clustered)
     placed = PCA(k=2, inputCol="centred", outputCol="place").fit(centred).transform(centred)
     axes = vector_to_array("place")
-    return placed.select(
-        *LANE_KEYS, F.col("prediction").alias("cluster"), axes[0].alias("pc1"), axes[1].alias("pc2")
-    )
+    return placed.select(*LANE_KEYS, "cluster", axes[0].alias("pc1"), axes[1].alias("pc2"))
 
 
 def modal_cluster(clustered: DataFrame) -> DataFrame:

@@ -193,9 +193,12 @@ JOBS: dict[str, Job] = {
         energy.charge_stats_rollup(_stats(x))
     ),
     "scaled_stats": lambda x: _rounded(energy.scaled_stats(_stats(x))),
-    "kmeans_elbow": lambda x: clusters.kmeans_elbow(_features(x)),
+    "kmeans_elbow": lambda x: _rounded(clusters.kmeans_elbow(_features(x))),
+    "lane_clusters": lambda x: clusters.lane_clusters(_features(x)).select(
+        *energy.LANE_KEYS, "cluster"
+    ),
     "kmeans_clusters": lambda x: clusters.kmeans_clusters(_features(x)),
-    "modal_cluster": lambda x: clusters.modal_cluster(clusters.kmeans_clusters(_features(x))),
+    "modal_cluster": lambda x: clusters.modal_cluster(clusters.lane_clusters(_features(x))),
     "loh_regression": lambda x: _rounded(energy.loh_regression(_studied(x), "FUEL SURCHARGE")),
     "loh_regression_fuel": lambda x: _rounded(energy.loh_regression(_studied(x), "FUEL")),
     "loh_regression_fuel_charge": lambda x: _rounded(

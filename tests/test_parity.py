@@ -37,9 +37,7 @@ def table(columns, rows):
 
 def test_every_query_but_fitted_models_has_sql():
     assert set(QUERIES) - set(SQL) == {
-        "kmeans_elbow",
         "kmeans_clusters",
-        "modal_cluster",
         "loh_regression_p_values",
     }
     assert not set(SQL) - set(QUERIES)
