@@ -1,18 +1,22 @@
 """Licence scans: which paragraphs declare which family of licences.
 
-A logistic regression over sparse word n-grams, trained on the families' wordings
-and on paragraphs that declare nothing, gives each stretch of a paragraph a
-family or ``unknown``. Its probabilities are calibrated on rows that it was not
-trained on, and the least probability that counts follows from the same rows. A
-prediction holds only if a wording of that family is found in the paragraph;
-a wording whose family is not predicted is ``unknown``. A paragraph is a run of
-lines that are not blank, so that wordings may be wrapped. Each line where
-declarations start gives a row for each family, the surest of its declarations;
-``paragraph`` is that line's number.
-
-Defined cases: NULL and empty texts, and paragraphs without any wording, give no
-row; repeated rows give a row each; long paragraphs are read
-whole; an empty table gives no rows. Only doc_id and text are read.
+A logistic regression over sparse word n-grams reads every stretch of every paragraph
+and gives it a family, ``unknown`` for a licence of no listed family, or none. It is
+trained on the families' wordings, on declarations of unlisted licences and on
+paragraphs that declare nothing; its probabilities are calibrated on rows that it was
+not trained on, among them unlisted licences that it never saw, and the least
+probability that counts follows from the same rows. Template comparison then confirms a
+prediction: a row of a family needs one of that family's wordings there. A stretch that
+surely declares something, and in which no wording is confirmed, is ``unknown``, as is a
+wording whose family is not predicted. A paragraph is a run of lines that are not
+blank, so that wordings may be wrapped. Each line where declarations start gives a row
+for each family, the surest of its declarations; ``paragraph`` is that line's number.
+
+Defined cases: NULL and empty texts, and paragraphs that declare nothing, give no row;
+repeated rows give a row each; long paragraphs are read whole; what touches a confirmed
+wording within a stretch is explained by it and not unknown; paragraphs of fewer than
+four words are only compared with the wordings; an empty table gives no rows. Only
+doc_id and text are read.
 """
 
 from __future__ import annotations
@@ -28,12 +32,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from haulcost.llm.license_texts import ABOUT, TEMPLATES
+from haulcost.llm.license_texts import ABOUT, TEMPLATES, UNLISTED
 from haulcost.llm.words import take
 
 UNKNOWN = "unknown"
+NONE = "none"
 #: Documents whose paragraphs serve as background: the first so many by a hash of doc_id.
 BACKGROUND_DOCUMENTS = 400
+#: Characters of a piece of a background paragraph.
+PIECE = 400
 #: Words of a stretch and from one stretch to the next.
 STRETCH = 48
 STEP = 24
@@ -43,6 +50,11 @@ CONFIRMED = 0.6
 LONE = 6
 #: Share of background that may pass the probability threshold.
 FALSE_ALARMS = 0.002
+#: Least probability of a declaration that no wording confirms, and its least words.
+UNCONFIRMED = 0.9
+LEAST_WORDS = 4
+#: Every so many-th unlisted licence is kept for calibration.
+HELD_LICENCES = 4
 #: Variants of each wording for training.
 VARIANTS = 40
 
@@ -97,9 +109,10 @@ class Model:
     def occurrences(self, words: list[str]) -> Iterator[tuple[str, float, int, int]]:
         """Family, similarity and place of every confirmed wording, within a stretch's length."""
         hits = collections.defaultdict(list)
-        for at, t in enumerate(zip(words, words[1:], words[2:], strict=False)):
-            for wording in self.known.get(t, ()):
-                hits[wording].append((at, t))
+        for width in (2, 3):
+            for at, t in enumerate(zip(*[words[k:] for k in range(width)], strict=False)):
+                for wording in self.known.get(t, ()):
+                    hits[wording].append((at, t))
         for wording, own in sorted(hits.items()):
             family, all_triples = self.wordings[wording]
             least = CONFIRMED * len(all_triples)
@@ -107,7 +120,8 @@ class Model:
             for at, t in [*own, (len(words) + STRETCH, None)]:
                 first = next(iter(group.values()), at)
                 if len(group) >= least and (t in group or at - first > STRETCH - 3):
-                    yield family, *self._tight(group, len(all_triples), least)
+                    same, start, end = self._tight(group, len(all_triples), least)
+                    yield family, same, start, min(end, len(words))
                     group = {}
                 group.pop(t, None)
                 group = {k: v for k, v in group.items() if at - v <= STRETCH - 3}
@@ -125,7 +139,7 @@ class Model:
 
     def verdicts(self, words: list[str]) -> list[tuple[int, str, float, float]]:
         """First word, family, probability and similarity of every declaration."""
-        none = self.families.index(UNKNOWN)
+        none = self.families.index(NONE)
         sure, rest = [], []
         for family, same, start, end in self.occurrences(words):
             # The wording alone, so that families side by side do not share a probability,
@@ -140,8 +154,80 @@ class Model:
                 rest.append((start, end, UNKNOWN, max(float(1 - p[none]) for p in both), same))
         # What a family explains is not unknown.
         rest = [r for r in rest if not any(r[0] < s[1] and s[0] < r[1] for s in sure)]
+        known, end = sure + rest, 0
+        for stretch, telling in self.declared(words):
+            if any(stretch[0] < s[1] and s[0] < stretch[1] for s in known):
+                continue
+            row = (telling, *stretch[1:])
+            if stretch[0] < end:  # the same declaration as the last one's
+                rest[-1] = max(rest[-1], row, key=lambda r: r[3])
+            else:
+                rest.append(row)
+            end = stretch[1]
         return [(start, *row) for start, _, *row in sorted(sure + rest)]
 
+    def declared(self, words: list[str]) -> Iterator[tuple[tuple, int]]:
+        """Stretches that surely declare something: place, ``unknown``, probability, similarity; telling word."""
+        if len(words) < LEAST_WORDS:
+            return
+        found = self._found(words)
+        none, last = self.families.index(NONE), max(0, len(words) - STRETCH)
+        # No stretch whose grams cannot outweigh this has so high a probability.
+        odds = UNCONFIRMED / (1 - UNCONFIRMED) / (len(self.families) - 1)
+        needed = self.temperature * np.log(odds) - 1e-9
+        margins, low = self.margins, 0
+        for start in [*range(0, last, STEP), last]:
+            end = start + STRETCH
+            while low < len(found) and found[low][0] < start:
+                low += 1
+            own, at = {}, low
+            while at < len(found) and found[at][0] < end:
+                place, gram, width = found[at]
+                if place + width <= end:
+                    own.setdefault(gram, place)
+                at += 1
+            if not own or margins[-1] + sum(margins[g] for g in own) < needed:
+                continue
+            p = softmax((self.weights[list(own)].sum(0) + self.weights[-1]) / self.temperature)
+            if 1 - p[none] >= max(UNCONFIRMED, self.threshold):
+                most = max(margins[g] for g in own)
+                telling = min(own[g] for g in own if 2 * margins[g] >= most)
+                same = self.similarity(words[start:end])
+                yield (start, min(end, len(words)), UNKNOWN, float(1 - p[none]), same), telling
+
+    def _found(self, words: list[str]) -> list[tuple[int, int, int]]:
+        """Place, number and words of every gram of the vocabulary, in order of places."""
+        vocabulary, out = self.vocabulary, []
+        one = [vocabulary.get(w) for w in words]
+        for i, gram in enumerate(one):
+            if gram is None:
+                continue
+            out.append((i, gram, 1))
+            text = words[i]
+            for width in (2, 3):
+                if i + width > len(words) or one[i + width - 1] is None:
+                    break
+                text = f"{text} {words[i + width - 1]}"
+                longer = vocabulary.get(text)
+                if longer is not None:
+                    out.append((i, longer, width))
+        return out
+
+    def similarity(self, words: list[str]) -> float:
+        """The largest share of a wording's triples that a stretch holds."""
+        own = triples(words) | set(zip(words, words[1:], strict=False))
+        counts = collections.Counter(w for t in own for w in self.known.get(t, ()))
+        return max((n / len(self.wordings[w][1]) for w, n in counts.items()), default=0.0)
+
+    @property
+    def margins(self) -> list[float]:
+        """By how much each gram can speak for a declaration rather than none."""
+        if not hasattr(self, "_margins"):
+            none = self.families.index(NONE)
+            against = np.delete(self.weights, none, 1) - self.weights[:, [none]]
+            self._margins = against.max(1).tolist()
+        return self._margins
+
     def judge(self, words: list[str]) -> tuple[str, float, float] | None:
         """Family, probability and similarity of the surest declaration."""
         found = [row for _, *row in self.verdicts(words)]
@@ -177,26 +263,29 @@ def _variants(words: list[str], filler: list[str], rng: random.Random) -> Iterat
 
 
 def train(background: list[str], rounds: int = 300, rate: float = 0.5, decay: float = 1e-4) -> Model:
-    """Fit on the wordings' variants against background paragraphs and talk about licences."""
+    """Fit on the wordings' variants and unlisted licences against background and talk about licences."""
     rng = random.Random(7)
-    families = [*TEMPLATES, UNKNOWN]
+    families = [*TEMPLATES, UNKNOWN, NONE]
     wordings = [(f, triples(license_words(t))) for f, texts in TEMPLATES.items() for t in texts]
     known = set().union(*[t for _, t in wordings])
     plain = [s for text in background for s in stretches(license_words(text)) if s]
     plain = [s for s in plain if not triples(s) & known]
     filler = [w for s in plain for w in s][:50_000] or license_words(" ".join(ABOUT))
-    rows = [(s, UNKNOWN) for s in plain]
-    for text in ABOUT:
-        rows += [(v, UNKNOWN) for v in _variants(license_words(text), filler, rng)]
-    for family, texts in TEMPLATES.items():
+    learned = [t for i, t in enumerate(UNLISTED) if i % HELD_LICENCES]
+    unseen = [t for i, t in enumerate(UNLISTED) if not i % HELD_LICENCES]
+    # Words of no wording, and none at all, declare nothing, however small the background.
+    rows = [(s, NONE) for s in plain] + [([], NONE)] * VARIANTS
+    for family, texts in {**TEMPLATES, UNKNOWN: learned, NONE: ABOUT}.items():
         for text in texts:
             rows += [(v, family) for v in _variants(license_words(text), filler, rng)]
     rng.shuffle(rows)
-    ours = [*(t for texts in TEMPLATES.values() for t in texts), *ABOUT]
+    never = [(v, UNKNOWN) for text in unseen for v in _variants(license_words(text), filler, rng)]
+    held = np.array([i % 4 == 3 for i in range(len(rows))] + [True] * len(never))
+    rows += never
+    ours = [*(t for texts in TEMPLATES.values() for t in texts), *learned, *ABOUT]
     vocabulary = {g: i for i, g in enumerate(sorted(set().union(*[grams(license_words(t)) for t in ours])))}
     features = [[vocabulary[g] for g in grams(words) if g in vocabulary] for words, _ in rows]
     labels = np.array([families.index(f) for _, f in rows])
-    held = np.arange(len(rows)) % 4 == 3
     weights = np.zeros((len(vocabulary) + 1, len(families)))
 
     def scores(which: np.ndarray) -> np.ndarray:
@@ -210,9 +299,10 @@ def train(background: list[str], rounds: int = 300, rate: float = 0.5, decay: fl
     flat = np.concatenate([np.array(features[i], int) for i in fitted])
     row = np.repeat(np.arange(len(fitted)), [len(features[i]) for i in fitted])
     # Both kinds of rows weigh the same in total.
-    balance = np.where(labels[fitted] == families.index(UNKNOWN), 1.0, 1.0)
+    none = families.index(NONE)
+    balance = np.ones(len(fitted))
     for kind in (True, False):
-        part = (labels[fitted] == families.index(UNKNOWN)) == kind
+        part = (labels[fitted] == none) == kind
         balance[part] /= max(1, part.sum()) * 2
     squares = np.full_like(weights, 1e-8)
     for _ in range(rounds):
@@ -232,7 +322,6 @@ def train(background: list[str], rounds: int = 300, rate: float = 0.5, decay: fl
 
     temperature = float(min(np.geomspace(0.2, 5, 41), key=loss))
     p = softmax(z / temperature)
-    none = families.index(UNKNOWN)
     alarms = np.sort(np.delete(p, none, 1).max(1)[truth == none])
     allowed = int(len(alarms) * FALSE_ALARMS) + 1
     threshold = max(0.5, float(alarms[-allowed])) if len(alarms) >= allowed else 0.5
@@ -248,8 +337,11 @@ def background(documents: DataFrame, documents_read: int = BACKGROUND_DOCUMENTS)
         .limit(documents_read)
     )
     rows = documents.select("doc_id", "text").join(F.broadcast(ids.distinct()), "doc_id", "left_semi")
-    paragraphs = rows.select(F.explode(F.split("text", "\n")).alias("p")).filter("p <> ''")
-    return sorted(r.p for r in paragraphs.orderBy(F.xxhash64("p")).limit(10 * documents_read).collect())
+    # Pieces of paragraphs, so that the sample is bounded in bytes too.
+    runs = rows.select(F.explode(F.split("text", r"\n[^\S\n]*\n")).alias("run"))
+    pieces = F.regexp_extract_all("run", F.lit(f"(?s).{{1,{PIECE}}}"), F.lit(0))
+    found = runs.select(F.explode(pieces).alias("p")).filter("trim(p) <> ''")
+    return sorted(r.p for r in found.orderBy(F.xxhash64("p"), "p").limit(10 * documents_read).collect())
 
 
 def scan(documents: DataFrame, model: Model) -> DataFrame:

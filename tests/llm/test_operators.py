@@ -108,6 +108,56 @@ def test_license_held_out_wordings(license_model):
     assert family(long) == "Apache-2.0"
 
 
+UNSEEN = [
+    "Licensed under the Eclipse Public License, version 2.0.",
+    "This program and the accompanying materials are made available under the terms of the Eclipse Public License.",
+    "Released under the Boost Software License.",
+    "Distributed under the Boost Software License, Version 1.0.",
+    "This software is released under the zlib License.",
+    "Licensed under the Universal Permissive License, version 1.0.",
+]
+
+
+def test_unlisted_licences_are_unknown(spark, license_model):
+    filler = "plain words of a story " * 60
+    rows = [(i, f"A title\n\n{text}\n\nmore") for i, text in enumerate(UNSEEN)]
+    rows.append((90, f"{filler}\n{UNSEEN[0]}\n{filler}"))
+    rows += [(100 + i, text) for i, text in enumerate(licenses.ABOUT)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    found = sorted((r.doc_id, r.paragraph, r.family) for r in licenses.scan(frame, license_model).collect())
+    assert found == [*((i, 2, "unknown") for i in range(len(UNSEEN))), (90, 1, "unknown")]
+
+
+@pytest.mark.parametrize(
+    "text,family",
+    [
+        ("Distributed under the GNU GPL v3.", "GPL"),
+        ("# SPDX-License-Identifier: MIT", "MIT"),
+        ("// SPDX-License-Identifier: Apache-2.0", "Apache-2.0"),
+        ("Creative Commons Attribution-ShareAlike 4.0 International", "CC-BY-SA"),
+        ("Code: GNU LGPL v3", "LGPL"),
+    ],
+)
+def test_short_forms_have_their_family(license_model, text, family):
+    assert [v[1] for v in license_model.verdicts(licenses.license_words(text))] == [family]
+
+
+def test_probabilities_are_reliable_on_unseen_wordings(license_model):
+    """What is surely a declaration is one, and says so of licences that were never seen."""
+    rng = random.Random(11)
+    filler = "the story of a house by the river and its people who went home early".split()
+    none = license_model.families.index(licenses.NONE)
+    held = [t for i, t in enumerate(licenses.UNLISTED) if not i % licenses.HELD_LICENCES] + UNSEEN
+    rows = [(v, True) for t in held for v in licenses._variants(licenses.license_words(t), filler, rng)]
+    rows += [(v, False) for t in licenses.ABOUT for v in licenses._variants(licenses.license_words(t), filler, rng)]
+    judged = [(1 - license_model.probabilities(v)[none], truth) for v, truth in rows]
+    sure = [truth for p, truth in judged if p >= licenses.UNCONFIRMED]
+    assert sum(sure) / len(sure) >= 0.9
+    assert sum(sure) / sum(truth for _, truth in judged) >= 0.5
+    brier = sum((p - truth) ** 2 for p, truth in judged) / len(judged)
+    assert brier < 0.15
+
+
 def test_every_declared_family_has_a_row(spark, license_model):
     filler = " plain" * 3000
     rows = [
