@@ -305,12 +305,18 @@ def train(background: list[str], rounds: int = 300, rate: float = 0.5, decay: fl
         part = (labels[fitted] == none) == kind
         balance[part] /= max(1, part.sum()) * 2
     squares = np.full_like(weights, 1e-8)
+    # Rows by gram, each gram's together, so that its gradient is a sum over a run.
+    by_gram = np.argsort(flat, kind="stable")
+    present, runs = np.unique(flat[by_gram], return_index=True)
+    gathered, filled = row[by_gram], np.unique(row, return_index=True)
     for _ in range(rounds):
-        p = softmax(scores(fitted))
+        z = np.tile(weights[-1], (len(fitted), 1))
+        z[filled[0]] += np.add.reduceat(weights[flat], filled[1])
+        p = softmax(z)
         p[np.arange(len(fitted)), labels[fitted]] -= 1
         p *= balance[:, None]
         gradient = decay * weights
-        np.add.at(gradient, flat, p[row])
+        gradient[present] += np.add.reduceat(p[gathered], runs)
         gradient[-1] += p.sum(0)
         squares += gradient**2
         weights -= rate * gradient / np.sqrt(squares)
