@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from pyspark.ml.feature import PCA, StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import LinearRegression
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from haulcost.operators import kmeans
+from haulcost.functions.stats import two_sided_t
+from haulcost.operators import energy, kmeans
 from haulcost.operators.energy import AMOUNT, FUEL_PAIR, LANE_KEYS, SCALED, TYPE
 from haulcost.sources.scratch import cut_lineage
 
@@ -81,25 +81,7 @@ def modal_cluster(clustered: DataFrame) -> DataFrame:
 
 
 def loh_regression_p_values(lines: DataFrame, charge_type: str) -> DataFrame:
-    """Two-sided p-value of each coefficient of ``energy.loh_regression``.
-
-    Only the names of the haul classes, at most seven, reach the driver.
-    """
-    spark = lines.sparkSession
-    schema = "term string, p_value double"
-    observed = lines.where((F.col(TYPE) == charge_type) & F.col(AMOUNT).isNotNull())
-    classes = sorted(row.LOH for row in observed.select("LOH").distinct().collect())
-    if len(classes) < 2:
-        return spark.createDataFrame([], schema)
-    compared = classes[1:]
-    columns = [F.col(AMOUNT).cast("double").alias("label")] + [
-        (F.col("LOH") == name).cast("double").alias(name) for name in compared
-    ]
-    design = VectorAssembler(inputCols=compared, outputCol="features").transform(
-        observed.select(columns)
-    )
-    p_values = LinearRegression(solver="normal").fit(design).summary.pValues
-    terms = [*(f"factor(LOH){name}" for name in compared), "(Intercept)"]
-    return spark.createDataFrame(
-        [(term, float(p)) for term, p in zip(terms, p_values, strict=True)], schema
-    ).orderBy("term")
+    """Two-sided p-value of each coefficient of ``energy.loh_regression``."""
+    fitted = energy.loh_regression(lines, charge_type)
+    p_value = two_sided_t(F.col("t_value"), F.col("residual_df"))
+    return fitted.select("term", p_value.alias("p_value")).orderBy("term")

@@ -204,8 +204,8 @@ JOBS: dict[str, Job] = {
     "loh_regression_fuel_charge": lambda x: _rounded(
         energy.loh_regression(_studied(x), "FUEL CHARGE")
     ),
-    "loh_regression_p_values": lambda x: clusters.loh_regression_p_values(
-        _studied(x), "FUEL SURCHARGE"
+    "loh_regression_p_values": lambda x: _rounded(
+        clusters.loh_regression_p_values(_studied(x), "FUEL SURCHARGE")
     ),
     "fuel_lines_by_shipper": lambda x: energy.fuel_lines_by_shipper(_energy(x), p.SHIPPER_LINES),
     "fuel_shipper_counts": lambda x: energy.fuel_shipper_counts(_energy(x)),

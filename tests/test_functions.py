@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import random
 import statistics
 from decimal import Decimal
@@ -192,6 +193,34 @@ def hot_groups():
     return rows
 
 
+def beyond(t, df):
+    """Both tails of Student's t by midpoints on an angle whose tangent is t / sqrt(df)."""
+    np = pytest.importorskip("numpy")
+    start, end = math.atan(abs(t) / math.sqrt(df)), min(math.pi / 2, 60 / math.sqrt(df))
+
+    def area(low):
+        nodes, weights = np.polynomial.legendre.leggauss(60)
+        edges = np.linspace(min(low, end), end, 101)
+        middle, half = (edges[1:] + edges[:-1]) / 2, (edges[1:] - edges[:-1]) / 2
+        angles = middle[:, None] + half[:, None] * nodes
+        return float((np.cos(angles) ** (df - 1) * weights * half[:, None]).sum())
+
+    return area(start) / area(0.0)
+
+
+def test_two_sided_t_equals_the_integral(spark):
+    distances = [0.0, 1e-6, 0.1, 1.0, -1.0, 1.7, 1.8, 3.0, -10.0, 1e3, 1e6]
+    cases = [(t, df) for df in (1, 2, 3, 10, 100, 5000, 10**6) for t in distances]
+    frame = spark.createDataFrame([*cases, (None, 3), (1.0, 0), (1.0, None)], "t double, df long")
+    rows = frame.select("t", "df", stats.two_sided_t(F.col("t"), F.col("df")).alias("p")).collect()
+    found = {(r.t, r.df): r.p for r in rows}
+    for case in cases:
+        assert found[case] == pytest.approx(beyond(*case), abs=1e-10), case
+    assert found[None, 3] is None and found[1.0, 0] is None and found[1.0, None] is None
+    normal = spark.range(1).select(stats.two_sided_t(F.lit(1.0), F.lit(10**12)).alias("p")).first().p
+    assert normal == pytest.approx(math.erfc(1 / math.sqrt(2)), abs=1e-10)
+
+
 def test_exact_medians_of_small_and_large_groups(spark):
     rows = hot_groups()
     frame = spark.createDataFrame(rows, "g string, x double, y double").repartition(6)
