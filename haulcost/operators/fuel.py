@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, Window
@@ -243,16 +244,20 @@ LOAD_COLUMNS = [
 ]
 
 
-def load_fuel_totals(ledger: DataFrame, scope: FuelScope = LOAD_STUDY) -> DataFrame:
+def load_fuel_totals(
+    ledger: DataFrame, scope: FuelScope = LOAD_STUDY, grain: Sequence[str] = LOAD_COLUMNS
+) -> DataFrame:
     """Fuel billed per load, typed FUEL CHARGE, FUEL SURCHARGE or BOTH.
 
+    ``grain`` are the attributes whose combinations count as a load of their own.
+
     BOTH means more than one spelling of a fuel charge on the load; sums stay
     split by class, so such a load can have a row for each. Sums and spellings
     are two mergeable aggregations. They meet in a join, which a load with very
     many lines cannot pile up in one task.
     """
     lines = fuel_ledger(ledger, scope)
-    sums = lines.groupBy(*LOAD_COLUMNS, "charge_type").agg(
+    sums = lines.groupBy(*grain, "charge_type").agg(
         F.sum("accessorial_charge_amount").alias("total_fuel")
     )
     spellings = lines.groupBy("cass_shipment_id").agg(
@@ -260,7 +265,7 @@ def load_fuel_totals(ledger: DataFrame, scope: FuelScope = LOAD_STUDY) -> DataFr
     )
     charge_type = F.when(F.col("several"), F.lit("BOTH")).otherwise(F.col("charge_type"))
     return join_hot(sums, spellings, "cass_shipment_id").select(
-        *[c for c in LOAD_COLUMNS if c != "amount_paid"],
+        *[c for c in grain if c != "amount_paid"],
         charge_type.alias("charge_type"),
         F.col("total_fuel").cast("decimal(28,2)").alias("total_fuel"),
         "amount_paid",
@@ -275,12 +280,12 @@ def sorted_loads(loads: DataFrame) -> DataFrame:
 
 
 def both_charge_loads(ledger: DataFrame, scope: FuelScope = DRY_VAN_STUDY) -> DataFrame:
-    """Only the loads typed BOTH."""
-    columns = ["cass_shipment_id", "ship_date", "carrier_name", "distance", "charge_type"]
+    """Only the loads typed BOTH, whatever places their lines were billed from and to."""
+    grain = ["cass_shipment_id", "ship_date", "carrier_name", "distance", "amount_paid"]
     return (
-        load_fuel_totals(ledger, scope)
+        load_fuel_totals(ledger, scope, grain)
         .where(F.col("charge_type") == "BOTH")
-        .select(*columns, "total_fuel", "amount_paid")
+        .select(*grain[:-1], "charge_type", "total_fuel", "amount_paid")
         .orderBy("carrier_name", "distance", "cass_shipment_id")
     )
 

@@ -7,6 +7,8 @@ the *plain* one (nothing filled, so a load without a part has no bundle).
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -27,11 +29,15 @@ BUNDLES = {
 MONEY = "decimal(28,2)"
 
 
+PARTS = ("fuel", "other", "targeted")
+
+
 def _components(lines: DataFrame, dated: bool) -> DataFrame:
     """Fuel, other and targeted sums per load, all in one aggregation.
 
-    A part without any line is NULL. In the dated variant a missing amount is
-    skipped for fuel and targeted charges, but makes ``other_total`` missing.
+    A part without any line is NULL and not in the list ``has``. In the dated variant
+    a missing amount is skipped for fuel and targeted charges, but makes
+    ``other_total`` missing.
     """
     text, amount = F.col("accessorial_charge_description"), F.col("accessorial_charge_amount")
     fuel = classify.contains_any(text, classify.RAW_FUEL_WORDS)
@@ -53,8 +59,9 @@ def _components(lines: DataFrame, dated: bool) -> DataFrame:
             total = F.when(F.count(F.when(chosen, amount)) == lines_of_part, total)
         return total.cast(MONEY).alias(f"{flag}_total")
 
+    has = F.array_compact(F.array(*[F.when(F.bool_or(flag), F.lit(flag)) for flag in PARTS]))
     sums = flagged.groupBy(*LOAD_KEYS).agg(
-        part("fuel", dated), part("other", False), part("targeted", dated)
+        part("fuel", dated), part("other", False), part("targeted", dated), has.alias("has")
     )
     if not dated:
         return sums
@@ -85,19 +92,38 @@ def _base_rates(lines: DataFrame, extra: list[str], dated: bool) -> DataFrame:
     return rates.fillna(0, ["Base_Rate"]) if dated else rates
 
 
-def rate_components(ledger: DataFrame, dated: bool = True, ship_from: str | None = None) -> DataFrame:
+def _with_parts(rates: DataFrame, parts: DataFrame, join_keys: Sequence[str]) -> DataFrame:
+    """Base rates with the parts of the same keys, null-safe.
+
+    On fewer keys than a load has, each part is a table of its own: a base rate meets
+    every fuel sum, every other sum and every targeted sum of its keys.
+    """
+    if list(join_keys) == LOAD_KEYS:
+        return join_same(rates, parts.drop("has"), LOAD_KEYS, "left")
+    for name in PARTS:
+        own = parts.where(F.array_contains("has", name)).select(*join_keys, f"{name}_total")
+        rates = join_same(rates, own, join_keys, "left")
+    return rates
+
+
+def rate_components(
+    ledger: DataFrame,
+    dated: bool = True,
+    ship_from: str | None = None,
+    join_keys: Sequence[str] = LOAD_KEYS,
+) -> DataFrame:
     """Total, parts and rate bundles per load.
 
     The parts are summed per load and joined null-safe to the base rates, whose
-    finer keys may repeat them (a load with two ship dates).
+    finer keys may repeat them (a load with two ship dates). The published plain
+    variant joins on the load id alone, ``["cass_shipment_id"]``, which pairs up the
+    parts of a load that has several modes or postal codes.
     """
     lines = van_reefer_lines(ledger, ship_from or ("2022-05-01" if dated else "2021-07-01"))
     if dated:
         lines = lines.where(F.col("origin_country_code").isin("USA", "US"))
     extra = ["shipper_master_code", "ship_date"] if dated else []
-    joined = join_same(
-        _base_rates(lines, extra, dated), _components(lines, dated), LOAD_KEYS, "left"
-    )
+    joined = _with_parts(_base_rates(lines, extra, dated), _components(lines, dated), join_keys)
     if dated:
         joined = joined.fillna(0, ["fuel_total", "targeted_total"])
     with_fuel = (F.col("Base_Rate") + F.col("fuel_total")).cast(MONEY)

@@ -213,6 +213,9 @@ JOBS: dict[str, Job] = {
     # Rate bundles
     "rate_components": lambda x: rates.rate_components(x, True, p.SHIP_FROM),
     "rate_components_plain": lambda x: rates.rate_components(x, False, p.SHIP_FROM),
+    "rate_components_by_load": lambda x: rates.rate_components(
+        x, False, p.SHIP_FROM, ["cass_shipment_id"]
+    ),
     "plausible_rates": lambda x: rates.plausible_rates(
         rates.rate_components(x, True, p.SHIP_FROM)
     ),

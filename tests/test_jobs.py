@@ -321,6 +321,21 @@ def test_two_types_of_one_load_keep_their_own_sums(ledger):
     ]
 
 
+def test_loads_with_both_charges_do_not_split_by_place(ledger):
+    elsewhere = {"origin_postal_code": "20202", "origin_state": "NJ"}
+    frame = ledger(
+        line("1", "FUEL SURCHARGE", 10),
+        line("1", "Fuel Surcharge", 15, **elsewhere),
+        line("1", "FUEL CHARGE", 2, **elsewhere),
+        line("1", "FUEL CHARGE", 3, distance=301.0),
+        line("2", "FUEL CHARGE", 9),
+    )
+    rows = [(r.distance, r.total_fuel) for r in fuel.both_charge_loads(frame, SCOPE).collect()]
+    assert sorted(rows) == [(300.0, 2), (300.0, 25), (301.0, 3)]
+    split = fuel.load_fuel_totals(frame, SCOPE).where(F.col("charge_type") == "BOTH")
+    assert split.count() == 4
+
+
 def test_load_sets_are_disjoint(ledger):
     frame = ledger(
         line("1", "FUEL CHARGE", 10),
@@ -626,6 +641,28 @@ def test_two_ship_dates_repeat_the_load_sums(ledger):
     assert rows[dt.date(2022, 8, 10), None].other_total == 5
 
 
+def test_parts_meet_by_load_id_as_published(ledger):
+    frame = ledger(
+        line("1", "FUEL", 30),
+        line("1", "FUEL TAX", 7, origin_postal_code="20202"),
+        line("1", "TOLL", 20),
+        line("2", "DETENTION", 5),
+        line("3", "FUEL", 1),
+    )
+    rows = rates.rate_components(frame, False, "2022-01-01", ["cass_shipment_id"]).collect()
+    found = sorted(
+        (r.origin_zip3, r.fuel_total, r.other_total, r.targeted_total)
+        for r in rows if r.cass_shipment_id == "1"
+    )
+    # Two base rates, each with two fuel sums, the one other sum and two targeted ones.
+    parts = [(fuel, 20, targeted) for fuel in (7, 30) for targeted in (7, 20)]
+    assert found == [(zip3, *part) for zip3 in ("101", "202") for part in parts]
+    rest = {r.cass_shipment_id: (r.fuel_total, r.other_total) for r in rows}
+    assert rest["2"] == (None, 5) and rest["3"] == (1, None)
+    four = rates.rate_components(frame, False, "2022-01-01").collect()
+    assert sorted(r.origin_zip3 for r in four if r.cass_shipment_id == "1") == ["101", "202"]
+
+
 def test_missing_bundle_makes_lane_variance_missing(ledger):
     frame = ledger(
         line("1", "FUEL", 30, amount_paid=100),
