@@ -2,29 +2,25 @@
 
 from __future__ import annotations
 
-from pyspark.ml.feature import PCA, StandardScaler, VectorAssembler
-from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, Window
+from itertools import combinations_with_replacement
+
+import numpy as np
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from haulcost.functions.stats import two_sided_t
 from haulcost.operators import energy, kmeans
-from haulcost.operators.energy import AMOUNT, FUEL_PAIR, LANE_KEYS, SCALED, TYPE
+from haulcost.operators.energy import FUEL_PAIR, LANE_KEYS, SCALED, TYPE
 from haulcost.sources.scratch import cut_lineage
 
 
 def fuel_features(scaled: DataFrame) -> DataFrame:
-    """Feature vectors of the two fuel types, stored because every fit reads them.
+    """Lanes of the two fuel types, stored because every fit reads them.
 
-    A measure that does not vary has no z-score; it counts as 0, the mean, and no
+    A measure that does not vary has no z-score; fits count it as 0, the mean, and no
     row is dropped for it.
     """
-    pair = scaled.where(F.col(TYPE).isin(FUEL_PAIR))
-    known = [F.coalesce(F.col(name), F.lit(0.0)).alias(f"_{name}") for name in SCALED]
-    assembler = VectorAssembler(
-        inputCols=[f"_{name}" for name in SCALED], outputCol="features", handleInvalid="error"
-    )
-    return cut_lineage(assembler.transform(pair.select("*", *known)).select(*pair.columns, "features"))
+    return cut_lineage(scaled.where(F.col(TYPE).isin(FUEL_PAIR)))
 
 
 def kmeans_elbow(
@@ -47,25 +43,53 @@ def lane_clusters(
     return fitted.select(*features.columns, F.col("now")[0].alias("cluster"))
 
 
+def principal_axes(
+    features: DataFrame, measures: list[str] = SCALED, number: int = 2
+) -> tuple[list[float], list[list[float]]]:
+    """Means of the measures, and the loadings of the first principal components.
+
+    One aggregation of whole numbers gives the covariances, a square of as many rows as
+    there are measures, so they are the same on any partitioning. The largest loading
+    of a component is positive. Fewer than two rows have loadings of 0.
+    """
+    width = range(len(measures))
+    steps = [F.col("point")[d].cast("decimal(19,0)") for d in width]
+    pairs = list(combinations_with_replacement(width, 2))
+    found = (
+        features.select(kmeans.point(measures).alias("point"))
+        .agg(
+            F.count("point").alias("n"),
+            F.array(*[F.sum(x).cast("decimal(38,0)") for x in steps]).alias("sums"),
+            F.array(*[F.sum(steps[i] * steps[j]) for i, j in pairs]).alias("products"),
+        )
+        .first()
+    )
+    n = found.n
+    if n < 2:
+        return [0.0 for _ in width], [[0.0 for _ in width] for _ in range(number)]
+    sums, covariance = [int(s) for s in found.sums], np.zeros((len(measures),) * 2)
+    for (i, j), product in zip(pairs, found.products, strict=True):
+        covariance[i, j] = covariance[j, i] = (n * int(product) - sums[i] * sums[j]) / (n * (n - 1))
+    _, vectors = np.linalg.eigh(covariance)
+    axes = [vectors[:, -1 - place] for place in range(number)]
+    axes = [axis * np.sign(axis[np.argmax(np.abs(axis))]) for axis in axes]
+    return [s / n for s in sums], [[float(x) for x in axis] for axis in axes]
+
+
 def kmeans_clusters(
     features: DataFrame, k: int = 4, seed: int = 123, rounds: int = kmeans.ROUNDS
 ) -> DataFrame:
     """Cluster of each lane, and its place on the first two principal components."""
-    if features.isEmpty():
-        return features.select(
-            *LANE_KEYS,
-            F.lit(0).alias("cluster"),
-            F.lit(0.0).alias("pc1"),
-            F.lit(0.0).alias("pc2"),
-        )
-    clustered = lane_clusters(features, k, seed, rounds)
-    centre = StandardScaler(
-        inputCol="features", outputCol="centred", withMean=True, withStd=False
-    ).fit(features)
-    centred = centre.transform(clustered)
-    placed = PCA(k=2, inputCol="centred", outputCol="place").fit(centred).transform(centred)
-    axes = vector_to_array("place")
-    return placed.select(*LANE_KEYS, "cluster", axes[0].alias("pc1"), axes[1].alias("pc2"))
+    means, axes = principal_axes(features)
+    placed = lane_clusters(features, k, seed, rounds).withColumn("point", kmeans.point(SCALED))
+
+    def place(axis: list[float]) -> Column:
+        parts = [(F.col("point")[d] - means[d]) * axis[d] for d in range(len(SCALED))]
+        return sum(parts, F.lit(0.0)) / kmeans.UNIT
+
+    return placed.select(
+        *LANE_KEYS, "cluster", place(axes[0]).alias("pc1"), place(axes[1]).alias("pc2")
+    )
 
 
 def modal_cluster(clustered: DataFrame) -> DataFrame:

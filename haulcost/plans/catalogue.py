@@ -197,7 +197,9 @@ JOBS: dict[str, Job] = {
     "lane_clusters": lambda x: clusters.lane_clusters(_features(x)).select(
         *energy.LANE_KEYS, "cluster"
     ),
-    "kmeans_clusters": lambda x: clusters.kmeans_clusters(_features(x)),
+    "kmeans_clusters": lambda x: clusters.kmeans_clusters(_features(x)).withColumns(
+        {pc: F.round(pc, p.PLACE_DIGITS) + 0 for pc in ("pc1", "pc2")}
+    ),
     "modal_cluster": lambda x: clusters.modal_cluster(clusters.lane_clusters(_features(x))),
     "loh_regression": lambda x: _rounded(energy.loh_regression(_studied(x), "FUEL SURCHARGE")),
     "loh_regression_fuel": lambda x: _rounded(energy.loh_regression(_studied(x), "FUEL")),

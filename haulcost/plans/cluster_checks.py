@@ -67,3 +67,50 @@ def clusters(stats: str, numbers: list[int], seed: int = 123, rounds: int = kmea
   from ({members}) m join ends using (k, round) join course c using (k, round))""",
     ]
     return ",\n".join([stats, *steps])
+
+
+#: Squarings of a covariance until only its first component is left of it.
+SQUARINGS = 30
+
+
+def _component(name: str, source: str) -> list[str]:
+    """The first eigenvector of ``source`` (i, j, v), whose largest part is positive."""
+    steps = [
+        f"{name}0 as materialized (select i, j, v / (select sum(v) from {source} where i = j) as v from {source})"
+    ]
+    for t in range(SQUARINGS):
+        steps += [
+            f"""{name}s{t} as materialized (select a.i, b.j, sum(a.v * b.v) as v
+  from {name}{t} a join {name}{t} b on a.j = b.i group by a.i, b.j)""",
+            f"""{name}{t + 1} as materialized (select i, j, v / (select sum(v) from {name}s{t} where i = j) as v
+  from {name}s{t})""",
+        ]
+    last = f"{name}{SQUARINGS}"
+    steps.append(
+        f"""{name} as materialized (select p.i as d, p.v / sqrt(best.v) as w from {last} p
+  join (select j, v from {last} where i = j order by v desc limit 1) best on p.j = best.j)"""
+    )
+    return steps
+
+
+def places() -> str:
+    """WITH items after those of ``clusters``: ``places`` with id, pc1 and pc2."""
+    numbers = ", ".join(str(d) for d in _WIDTH)
+    return ",\n".join(
+        [
+            f"parts as materialized (select id, unnest([{_X}]) as x, unnest([{numbers}]) as d from points)",
+            "totals as materialized (select d, count(*) as n, sum(x)::hugeint as s from parts group by d)",
+            """products as materialized (select a.d as i, b.d as j, sum(a.x::hugeint * b.x) as p
+  from parts a join parts b using (id) group by a.d, b.d)""",
+            """cov as materialized (select i, j,
+    (a.n * p::hugeint - a.s * b.s)::double / (a.n * (a.n - 1))::double as v
+  from products join totals a on a.d = i join totals b on b.d = j)""",
+            *_component("one", "cov"),
+            """rest as materialized (select i, j, v - (select sum(a.w * c.v * b.w) from cov c join one a on a.d = c.i
+    join one b on b.d = c.j) * x.w * y.w as v from cov join one x on x.d = i join one y on y.d = j)""",
+            *_component("two", "rest"),
+            f"""places as materialized (select id, sum((x - s / n) * one.w) / {kmeans.UNIT} as pc1,
+    sum((x - s / n) * two.w) / {kmeans.UNIT} as pc2
+  from parts join totals using (d) join one using (d) join two using (d) group by id)""",
+        ]
+    )

@@ -17,6 +17,8 @@ CARRIER = "CARRIER_3"
 MIXED_LINES = 1
 # Doubles that depend on the order of summation are compared to this many digits.
 DIGITS = 9
+# Places on principal components pass through an eigenvector and are compared to fewer.
+PLACE_DIGITS = 6
 # Lines created from this day on come late to the refreshed result.
 LATE_FROM = "1997-09-01"
 # Loads that the sample of a given number draws.

@@ -575,6 +575,23 @@ def test_clusters(spark):
     assert clusters.kmeans_clusters(features.limit(0)).count() == 0
 
 
+def test_places_are_principal_components_with_fixed_signs(spark):
+    np = pytest.importorskip("numpy")
+    features = clusters.fuel_features(energy.scaled_stats(lane_stats(spark)))
+    means, axes = clusters.principal_axes(features)
+    assert (means, axes) == clusters.principal_axes(features.repartition(7))
+    values = features.select(*energy.SCALED).toPandas().to_numpy()
+    centred = values - values.mean(axis=0)
+    _, sizes, rows = np.linalg.svd(centred, full_matrices=False)
+    for axis, expected in zip(axes, rows, strict=False):
+        assert max(axis) == max(abs(x) for x in axis)
+        assert abs(float(np.dot(axis, expected))) == pytest.approx(1, abs=1e-6)
+    placed = clusters.kmeans_clusters(features).toPandas()
+    assert (placed.pc1**2).sum() == pytest.approx(sizes[0] ** 2, rel=1e-6)
+    assert (placed.pc2**2).sum() == pytest.approx(sizes[1] ** 2, rel=1e-6)
+    assert clusters.principal_axes(features.limit(1)) == ([0.0] * 8, [[0.0] * 8] * 2)
+
+
 def test_modal_cluster_keeps_ties(spark):
     frame = spark.createDataFrame(
         [("a", 1), ("a", 2), ("b", 3), ("b", 3), ("b", 1)],
@@ -785,5 +802,5 @@ def test_a_constant_measure_drops_no_lane(spark):
     rows = [(f"lane{i}", energy.FUEL_PAIR[0], *[None if k == 0 else float(i) for k in range(len(energy.SCALED))]) for i in range(20)]
     frame = spark.createDataFrame(rows, f"lane string, `{energy.TYPE}` string, {columns}")
     features = clusters.fuel_features(frame)
-    assert features.count() == 20 and features.columns == [*frame.columns, "features"]
+    assert features.count() == 20 and features.columns == frame.columns
     assert clusters.kmeans_elbow(features, max_k=3, rounds=20).count() == 3

@@ -137,8 +137,6 @@ def test_one_scan_without_joins(stored, job):
 
 def test_no_python_and_no_pairs_in_any_plan(spark, stored):
     for name, job in catalogue.JOBS.items():
-        if name == "kmeans_clusters":
-            continue
         text = plan(job(stored))
         assert "Python" not in text and "InPandas" not in text, name
         assert "CartesianProduct" not in text, name
