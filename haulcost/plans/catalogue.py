@@ -11,6 +11,7 @@ from haulcost.functions import classify
 from haulcost.operators import (
     clusters,
     coverage,
+    distinct,
     energy,
     frequency,
     fuel,
@@ -125,6 +126,9 @@ JOBS: dict[str, Job] = {
     "nonbase_coverage_by_system": coverage.nonbase_coverage_by_system,
     "nonbase_coverage_by_mode": lambda x: coverage.nonbase_coverage_by_mode(x, p.MODE_LOADS),
     "nonbase_coverage_by_lane": lambda x: coverage.nonbase_coverage_by_lane(x, p.LANE_LOADS),
+    "loads_by_mode_sketched": lambda x: distinct.sketched_loads(
+        x, ["transportation_mode_description"]
+    ),
     "lane_traffic": frequency.lane_traffic,
     "keyword_counts_by_system": frequency.keyword_counts_by_system,
     "keyword_mix_legacy_vs_global": frequency.keyword_mix_legacy_vs_global,
