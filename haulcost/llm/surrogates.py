@@ -1,15 +1,18 @@
 """Personal data replaced by keyed surrogates of the same type and format.
 
-Detected are e-mail addresses, IPv4 addresses, telephone numbers, long card and
-account numbers, social security numbers, secret keys, keys of known prefixes and
-personal names: a listed given name, initials, a capitalised family name. An
-entity has the same surrogate wherever it occurs (coreference), two entities have
+Detected are e-mail addresses, IPv4 and IPv6 addresses, telephone numbers, long card
+and account numbers, international account numbers whose check digits hold, social
+security numbers, secret keys, keys of known prefixes and personal names: a listed
+given name, initials, a capitalised family name, or a title and one or two
+capitalised words. An entity has the same surrogate wherever it occurs (coreference), two entities have
 different ones (distinctness), and no surrogate is an entity that occurs in the
 texts; a check of all of them repeats until nothing collides. Digits become
 digits, letters letters of the same case, punctuation stays; e-mail domains get a
 reserved top domain, addresses of one domain keep sharing one; octets keep their
-number of digits; a number that passes the card checksum still does; names keep
-gender and script.
+number of digits; a number that passes the card checksum still does, and an
+international account number keeps its country and gets valid check digits; names keep
+gender and script, words after a title stay as many (a given name that is not listed
+becomes a gender-neutral one).
 
 A format may have fewer forms than the texts have entities ("+1 2 33 44" has 100,000).
 What collides again and again gets longer surrogates, one character more with each
@@ -81,12 +84,31 @@ ALSO_GIVEN = {
 }
 #: Every given name that is looked for, by group.
 LOOKED_FOR = {group: [*given, *ALSO_GIVEN[group]] for group, (given, _) in GROUPS.items()}
+# Titles before a name, and gender-neutral given names by script.
+TITLES = "Mr Mrs Ms Dr Prof Herr Frau Mme Mlle Monsieur Madame Señor Señora".split()
+NEUTRAL_LATIN = "Alex Robin Kim Chris Sam Dominique Sascha Jamie".split()
+NEUTRAL_CYRILLIC = "Саша Женя Валя Слава".split()
+# Countries by the length of their international account numbers.
+ACCOUNT_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FI FO GL NL", 19: "MK SI", 20: "AT BA EE KZ LT LU XK", 21: "CH HR LI LV",
+    22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG",
+    25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HU LB PL SV",
+    29: "BR EG PS QA UA", 30: "JO KW MU", 31: "MT SC", 32: "LC", 33: "RU",
+}
 _GIVEN = sorted({name for names in LOOKED_FOR.values() for name in names})
 
 #: Kinds of entity in the order in which they are tried. Every pattern starts where nothing
 #: that it could have begun with stands before, so a text is searched in one pass. Groups
 #: are repeated a bounded number of times (a domain has at most 127 labels), as the engine
 #: goes one call deeper with each.
+_NAMED = rf"(?:{'|'.join(_GIVEN + [x.upper() for x in _GIVEN])})"
+_FAMILY = r"\p{Lu}[\p{L}\p{M}'’\-]*\p{L}"
+_AFTER_GIVEN = rf"(?:[ \u00a0]{{1,8}}\p{{Lu}}\.){{0,3}}[ \u00a0]{{1,8}}{_FAMILY}"
+_ACCOUNT = "|".join(
+    rf"(?:{'|'.join(countries.split())})[0-9]{{2}}(?: ?[0-9A-Z]){{{length - 4}}}"
+    for length, countries in ACCOUNT_LENGTHS.items()
+)
+_HEX = "[0-9A-Fa-f]"
 PATTERNS = {
     "email": r"(?<![\p{L}\p{N}._%+\-@])[\p{L}\p{N}][\p{L}\p{N}._%+\-]*+@(?:[\p{L}\p{N}\-]++\.){1,126}\p{L}{2,}",
     "key": (
@@ -95,21 +117,31 @@ PATTERNS = {
         r"(?![\p{L}\p{N}])"
     ),
     "secret": r"(?<![\p{L}\p{N}])(?:[0-9a-f]{32,64}|[0-9A-F]{32,64})(?![\p{L}\p{N}])",
+    "account": rf"(?<![\p{{L}}\p{{N}}])(?:{_ACCOUNT})(?![\p{{L}}\p{{N}}])",
+    # Eight groups, or fewer around a double colon after a group of three or four.
+    "ip6": (
+        rf"(?<![\p{{L}}\p{{N}}:.])(?:{_HEX}{{1,4}}(?::{_HEX}{{1,4}}){{7}}|(?=[A-Fa-f:]{{0,32}}[0-9])"
+        rf"{_HEX}{{3,4}}(?::{_HEX}{{1,4}}){{0,5}}::(?:{_HEX}{{1,4}}(?::{_HEX}{{1,4}}){{0,5}})?)(?![\p{{L}}\p{{N}}:])"
+    ),
     "ip": r"(?<![\p{L}\p{N}.])(?:(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)\.){3}(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)(?![\p{L}\p{N}]|\.\d)",
     "ssn": r"(?<![\p{L}\p{N}\-])\d{3}-\d{2}-\d{4}(?![\p{L}\p{N}]|-\d)",
     "phone": (
         r"(?<![\p{L}\p{N}+])(?:\+\d{1,3}[ .\-]?(?:\(\d{1,4}\)|\d{1,4})(?:[ .\-]?\d{2,4}){2,3}"
-        r"|\(\d{3}\) ?\d{3}[ .\-]\d{4}|\d{3}[.\-]\d{3}[.\-]\d{4})(?![\p{L}\p{N}])"
+        r"|\(\d{3}\) ?\d{3}[ .\-]\d{4}|\d{3}[.\-]\d{3}[.\-]\d{4}"
+        r"|(?<![.,/\-])0[1-9]\d{1,3}[ /\-]\d{5,8}(?![.,/\-]\d))(?![\p{L}\p{N}])"
     ),
     "number": r"(?<![\p{L}\p{N}])\d(?:[ \-]?\d){12,18}(?![\p{L}\p{N}])",
-    "name": (
-        rf"(?<![\p{{L}}\p{{M}}])(?:{'|'.join(_GIVEN + [x.upper() for x in _GIVEN])})"
-        r"(?:[ \u00a0]{1,8}\p{Lu}\.){0,3}[ \u00a0]{1,8}\p{Lu}[\p{L}\p{M}'’\-]*\p{L}"
+    "titled": (
+        rf"(?<![\p{{L}}\p{{M}}])(?:{'|'.join(TITLES)})\.?[ \u00a0]{{1,8}}(?!{_NAMED}{_AFTER_GIVEN}|(?:{'|'.join(TITLES)})(?![\p{{L}}\p{{M}}]))"
+        rf"{_FAMILY}(?:[ \u00a0]{{1,8}}{_FAMILY})?"
     ),
+    "name": rf"(?<![\p{{L}}\p{{M}}]){_NAMED}{_AFTER_GIVEN}",
 }
 ANY = "|".join(PATTERNS.values())
 #: Fixed value: the part of a key that says what it is for, which stays.
 KEY_PREFIX = r"^(?:AKIA|ASIA|AIza|gh[pousr]_|xox[abprs]-|(?:sk|pk|rk)[\-_](?:[0-9A-Za-z]{2,10}[\-_]){0,3})"
+#: Fixed value: the title of a name, which stays.
+TITLE = r"^[\p{L}]+\.?[ \u00a0]+"
 #: After so many attempts a surrogate may have more characters than its entity.
 LOOSER = 4
 #: From this attempt on every surrogate gets one character more with each attempt, so that
@@ -172,6 +204,52 @@ def _checked(fake: Column) -> Column:
     return F.concat(head, F.pmod(10 - rest, F.lit(10)).cast("string"))
 
 
+def _account_rest(text: Column) -> Column:
+    """The remainder by 97 of a text whose letters count as 10 to 35."""
+
+    def step(rest: Column, char: Column) -> Column:
+        code = F.ascii(char)
+        return (
+            F.when(code.between(48, 57), (rest * 10 + code - 48) % 97)
+            .when(code.between(65, 90), (rest * 100 + code - 55) % 97)
+            .otherwise(rest)
+        )
+
+    return F.aggregate(F.split(text, ""), F.lit(0), step)
+
+
+def _account_holds(account: Column) -> Column:
+    tail = F.substring(account, F.lit(5), F.length(account))
+    return _account_rest(F.concat(tail, F.substring(account, 1, 4))) == 1
+
+
+def _account(stream: Column, wide: Column) -> Column:
+    """Another account of the same country, with check digits that hold."""
+    country, own = F.substring("normal", 1, 2), F.substring(F.col("normal"), F.lit(5), F.length("normal"))
+    made = F.concat(_scrambled(own, stream), wide)
+    check = F.lit(98) - _account_rest(F.concat(made, country, F.lit("00")))
+    return F.concat(country, F.lpad(check.cast("string"), 2, "0"), made)
+
+
+def _titled(stream: Column) -> Column:
+    """As many words as the entity has after its title, in its script."""
+    cyrillic = F.col("normal").rlike(r"\p{IsCyrillic}")
+    woman = F.col("normal").rlike("а$")
+    pick = lambda names, at: _pick(names, _number(stream, at))
+
+    def family(at: int) -> Column:
+        russian = F.when(woman, pick(FAMILY_FEMALE_CYRILLIC, at)).otherwise(pick(FAMILY_MALE_CYRILLIC, at))
+        return F.when(cyrillic, russian).otherwise(pick(FAMILY_LATIN, at))
+
+    given = F.when(cyrillic, pick(NEUTRAL_CYRILLIC, 41)).otherwise(pick(NEUTRAL_LATIN, 41))
+    before = F.when(F.col("normal").contains(" "), F.concat(given, F.lit(" "))).otherwise("")
+    parts = [before, family(11)]
+    for number, at in ((1, 21), (2, 31)):
+        parts.append(F.when(F.col("attempt") >= number * LOOSER, F.concat(F.lit("-"), family(at))).otherwise(""))
+    parts.append(F.when(F.col("attempt") >= WIDER, F.concat(F.lit("-"), _more(stream, "a"))).otherwise(""))
+    return F.lower(F.concat(*parts))
+
+
 def _more(stream: Column, sample: str) -> Column:
     """As many more characters like the sample as there were attempts from WIDER on."""
     extra = F.greatest(F.col("attempt") - WIDER + 1, F.lit(0))
@@ -222,7 +300,7 @@ def surrogate() -> Column:
         return F.when(loose, value % 256).otherwise(low(char) + value % span(char)).cast("string")
 
     ip = F.array_join(F.transform(F.split("normal", r"\."), octet), ".")
-    country = F.regexp_extract("normal", r"^\+\d{1,3}(?=[ .\-(])", 0)
+    country = F.regexp_extract("normal", r"^(?:\+\d{1,3}(?=[ .\-(])|0(?=[1-9]\d{1,3}[ /\-]))", 0)
     wide = _more(stream, "0")
     prefix = F.regexp_extract("normal", KEY_PREFIX, 0)
     secret_key = F.concat(prefix, _scrambled(F.substring("normal", F.length(prefix) + 1, F.length("normal")), stream))
@@ -235,10 +313,13 @@ def surrogate() -> Column:
         F.when(F.col("kind") == "email", email)
         .when(F.col("kind") == "key", F.concat(secret_key, wide))
         .when(F.col("kind") == "secret", secret)
+        .when(F.col("kind") == "account", _account(stream, wide))
+        .when(F.col("kind") == "ip6", secret)
         .when(F.col("kind") == "ip", F.concat(ip, port))
         .when(F.col("kind") == "phone", F.concat(phone, wide))
         .when(F.col("kind") == "number", number)
         .when(F.col("kind") == "ssn", digits)
+        .when(F.col("kind") == "titled", _titled(stream))
         .when(F.col("kind") == "name", _name(stream))
     )
 
@@ -283,21 +364,27 @@ def found(documents: DataFrame) -> DataFrame:
             "normal",
             F.when(F.col("kind") == "number", F.regexp_replace("entity", r"\D", ""))
             .when(F.col("kind") == "key", F.col("entity"))
+            .when(F.col("kind") == "account", F.regexp_replace("entity", " ", ""))
+            .when(
+                F.col("kind") == "titled",
+                F.regexp_replace(F.regexp_replace(F.lower("entity"), TITLE, ""), "[ \u00a0]+", " "),
+            )
             .when(F.col("kind") == "name", F.regexp_replace(F.lower("entity"), "[ \u00a0]+", " "))
             .otherwise(F.lower("entity")),
         )
+        .where((F.col("kind") != "account") | _account_holds(F.col("normal")))
     )
 
 
-def _grouped() -> Column:
-    """The surrogate's digits with the entity's separators between them."""
-    upto = lambda at: F.length(F.regexp_replace(F.substring("entity", F.lit(1), at + 1), r"\D", ""))
+def _grouped(kept: str = "[0-9]", between: str = "[^0-9]") -> Column:
+    """The surrogate's characters with the entity's separators between them."""
+    upto = lambda at: F.length(F.regexp_replace(F.substring("entity", F.lit(1), at + 1), between, ""))
     more = F.substring("surrogate", F.length("normal") + 1, F.length("surrogate"))
     digits = F.array_join(
         F.transform(
             F.split("entity", ""),
             lambda char, at: F.when(
-                char.rlike("[0-9]"), F.substring("surrogate", upto(at), F.lit(1))
+                char.rlike(kept), F.substring("surrogate", upto(at), F.lit(1))
             ).otherwise(char),
         ),
         "",
@@ -310,6 +397,11 @@ def _cased() -> Column:
     return (
         F.when(F.col("kind") == "number", _grouped())
         .when(F.col("kind") == "key", F.col("surrogate"))
+        .when(F.col("kind") == "account", _grouped("[0-9A-Z]", "[^0-9A-Z]"))
+        .when(
+            F.col("kind") == "titled",
+            F.concat(F.regexp_extract("entity", TITLE, 0), F.initcap(F.regexp_replace("surrogate", "-", "- "))),
+        )
         .when(upper, F.upper("surrogate"))
         .when(F.col("kind") == "name", F.initcap(F.regexp_replace("surrogate", "-", "- ")))
         .otherwise(F.col("surrogate"))
@@ -331,7 +423,7 @@ def with_surrogates(documents: DataFrame, key: str) -> DataFrame:
         F.col("_row.doc_id").alias("doc"), F.col("_version").alias("version"), F.col("_row.text").alias("text")
     )
     places = cut_lineage(
-        found(texts.filter(F.col("text").rlike(r"[0-9@]|\p{Lu}\p{L}+[ \u00a0]+\p{Lu}"))).distinct()
+        found(texts.filter(F.col("text").rlike(r"[0-9@]|\p{Lu}\p{L}+\.?[ \u00a0]+\p{Lu}"))).distinct()
     )
     names = assigned(places.select("kind", "normal").distinct(), key)
     also = F.hash("kind", "normal")

@@ -227,6 +227,49 @@ def test_surrogates_keep_type_identity_and_distinctness(spark):
             assert piece not in "".join(out[i] for i in range(1, 5))
 
 
+def account_holds(text):
+    return int("".join(str(int(c, 36)) for c in text[4:] + text[:4])) % 97 == 1
+
+
+def test_accounts_addresses_and_titles(spark):
+    rows = [
+        (1, "pay DE89 3704 0044 0532 0130 00 AND BE68539007547034 20 people"),
+        (2, "DE89370400440532013000 again, GB82 WEST 1234 5698 7654 32."),
+        (3, "not one: DE89 3704 0044 0532 0130 01 nor US20 GAME TIME 2020"),
+        (4, "from 2001:db8:0:0:8a2e:370:7334:1 via FE80::1FF:FE23:4567:890A, std::dead::beef a::b 12::30"),
+        (5, "call 030 1234567 or 0171/7654321; costs 0,123 456789 and 00 12345"),
+        (6, "Mr. Weatherby met Dr Xaver Quill. Mrs Weatherby and Mr. John Smith left; John Smith, Prof."),
+        (7, "Frau Dr. \u0418\u0432\u0430\u043d\u043e\u0432\u0430 und Frau Holle"),
+    ]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    out = {r.doc_id: r.text for r in surrogates.with_surrogates(frame, "k").collect()}
+    first = re.fullmatch(r"pay (DE\d\d(?: \d{4}){4} \d\d) AND (BE\d{14}) 20 people", out[1])
+    second = re.fullmatch(r"(DE\d{20}) again, (GB\d\d [A-Z]{4}(?: \d{4}){3} \d\d)\.", out[2])
+    accounts = [x.replace(" ", "") for x in (*first.groups(), *second.groups())]
+    assert all(account_holds(x) for x in accounts) and accounts[0] == accounts[2]
+    assert not {"DE89370400440532013000", "BE68539007547034", "GB82WEST12345698765432"} & set(accounts)
+    assert out[3] == rows[2][1]
+    assert re.fullmatch(
+        r"from (?:[0-9a-f]{1,4}:){7}[0-9a-f] via [0-9A-F]{4}::[0-9A-F]{3}:[0-9A-F]{4}:[0-9A-F]{4}:[0-9A-F]{4},"
+        r" std::dead::beef a::b 12::30", out[4])
+    assert "2001:db8" not in out[4] and "FE80" not in out[4]
+    assert re.fullmatch(r"call 0\d\d \d{7} or 0\d{3}/\d{7}; costs 0,123 456789 and 00 12345", out[5])
+    assert "1234567" not in out[5] and "7654321" not in out[5]
+    parts = re.fullmatch(r"Mr\. (\S+) met Dr (\S+ \S+)\. Mrs (\S+) and Mr\. (\S+ \S+) left; (\S+ \S+), Prof\.", out[6]).groups()
+    assert parts[0] == parts[2] != "Weatherby" and parts[3] == parts[4] != "John Smith"
+    assert parts[0] in surrogates.FAMILY_LATIN and parts[1].split()[0] in surrogates.NEUTRAL_LATIN
+    assert parts[3].split()[0] in surrogates.MALE_LATIN
+    assert out[7].startswith("Frau Dr. ") and "Holle" not in out[7] and "Иванова" not in out[7]
+    assert out[7].split()[2] in surrogates.FAMILY_FEMALE_CYRILLIC
+
+
+def test_no_new_pattern_fails_on_long_runs(spark):
+    runs = ["DE89 " * 100_000, "DE" + "1 " * 300_000, "abc:" * 200_000, "1234:" * 200_000, "Mr. " * 200_000,
+            "Mr. A" + "b" * 500_000, "01" * 300_000, "030 " * 200_000, "Mr." + " " * 500_000, "abc::" * 100_000]
+    frame = spark.createDataFrame([(i, t) for i, t in enumerate(runs)], "doc_id long, text string")
+    assert surrogates.with_surrogates(frame, "k").count() == len(runs)
+
+
 def test_colliding_surrogates_try_again(spark):
     rows = [(i, f"{i % 10}.{i // 10}.1.1") for i in range(100)]
     frame = spark.createDataFrame(rows, "doc_id long, text string")
