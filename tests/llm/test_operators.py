@@ -263,6 +263,14 @@ def test_accounts_addresses_and_titles(spark):
     assert out[7].split()[2] in surrogates.FAMILY_FEMALE_CYRILLIC
 
 
+def test_a_number_after_a_telephone_number_stays(spark):
+    rows = [(1, "+1 (843) 555-7672 170 items, +1 (843) 555-7672, +49 30 1234 5678 9")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    out = surrogates.with_surrogates(frame, "k").first().text
+    one, two = re.fullmatch(r"(\+1 \(\d{3}\) \d{3}-\d{4}) 170 items, (\+1 \(\d{3}\) \d{3}-\d{4}), \+49 .*", out).groups()
+    assert one == two != "+1 (843) 555-7672"
+
+
 def test_no_new_pattern_fails_on_long_runs(spark):
     runs = ["DE89 " * 100_000, "DE" + "1 " * 300_000, "abc:" * 200_000, "1234:" * 200_000, "Mr. " * 200_000,
             "Mr. A" + "b" * 500_000, "01" * 300_000, "030 " * 200_000, "Mr." + " " * 500_000, "abc::" * 100_000]
