@@ -98,7 +98,8 @@ ACCOUNT_LENGTHS = {
 _GIVEN = sorted({name for names in LOOKED_FOR.values() for name in names})
 
 #: Kinds of entity in the order in which they are tried. Every pattern starts where nothing
-#: that it could have begun with stands before, so a text is searched in one pass. Groups
+#: that it could have begun with stands before, so a text is searched in one pass; long
+#: lists are only gone through after a look at what they all begin with. Groups
 #: are repeated a bounded number of times (a domain has at most 127 labels), as the engine
 #: goes one call deeper with each.
 _NAMED = rf"(?:{'|'.join(_GIVEN + [x.upper() for x in _GIVEN])})"
@@ -109,6 +110,7 @@ _ACCOUNT = "|".join(
     for length, countries in ACCOUNT_LENGTHS.items()
 )
 _HEX = "[0-9A-Fa-f]"
+_INITIALS = "".join(sorted({title[0] for title in TITLES}))
 PATTERNS = {
     "email": r"(?<![\p{L}\p{N}._%+\-@])[\p{L}\p{N}][\p{L}\p{N}._%+\-]*+@(?:[\p{L}\p{N}\-]++\.){1,126}\p{L}{2,}",
     "key": (
@@ -117,7 +119,7 @@ PATTERNS = {
         r"(?![\p{L}\p{N}])"
     ),
     "secret": r"(?<![\p{L}\p{N}])(?:[0-9a-f]{32,64}|[0-9A-F]{32,64})(?![\p{L}\p{N}])",
-    "account": rf"(?<![\p{{L}}\p{{N}}])(?:{_ACCOUNT})(?![\p{{L}}\p{{N}}])",
+    "account": rf"(?<![\p{{L}}\p{{N}}])(?=[A-Z]{{2}}[0-9]{{2}})(?:{_ACCOUNT})(?![\p{{L}}\p{{N}}])",
     # Eight groups, or fewer around a double colon after a group of three or four.
     "ip6": (
         rf"(?<![\p{{L}}\p{{N}}:.])(?:{_HEX}{{1,4}}(?::{_HEX}{{1,4}}){{7}}|(?=[A-Fa-f:]{{0,32}}[0-9])"
@@ -134,10 +136,10 @@ PATTERNS = {
     ),
     "number": r"(?<![\p{L}\p{N}])\d(?:[ \-]?\d){12,18}(?![\p{L}\p{N}])",
     "titled": (
-        rf"(?<![\p{{L}}\p{{M}}])(?:{'|'.join(TITLES)})\.?[ \u00a0]{{1,8}}(?!{_NAMED}{_AFTER_GIVEN}|(?:{'|'.join(TITLES)})(?![\p{{L}}\p{{M}}]))"
+        rf"(?<![\p{{L}}\p{{M}}])(?=[{_INITIALS}])(?:{'|'.join(TITLES)})\.?[ \u00a0]{{1,8}}(?!{_NAMED}{_AFTER_GIVEN}|(?:{'|'.join(TITLES)})(?![\p{{L}}\p{{M}}]))"
         rf"{_FAMILY}(?:[ \u00a0]{{1,8}}{_FAMILY})?"
     ),
-    "name": rf"(?<![\p{{L}}\p{{M}}]){_NAMED}{_AFTER_GIVEN}",
+    "name": rf"(?<![\p{{L}}\p{{M}}])(?=\p{{Lu}}){_NAMED}{_AFTER_GIVEN}",
 }
 ANY = "|".join(PATTERNS.values())
 #: Fixed value: the part of a key that says what it is for, which stays.
@@ -424,9 +426,8 @@ def with_surrogates(documents: DataFrame, key: str) -> DataFrame:
     texts = keyed.select(
         F.col("_row.doc_id").alias("doc"), F.col("_version").alias("version"), F.col("_row.text").alias("text")
     )
-    places = cut_lineage(
-        found(texts.filter(F.col("text").rlike(r"[0-9@]|\p{Lu}\p{L}+\.?[ \u00a0]+\p{Lu}"))).distinct()
-    )
+    some = rf"[0-9@]|\p{{Lu}}\p{{L}}+[ \u00a0]+\p{{Lu}}|(?:{'|'.join(TITLES)})\.[ \u00a0]"
+    places = cut_lineage(found(texts.filter(F.col("text").rlike(some))).distinct())
     names = assigned(places.select("kind", "normal").distinct(), key)
     also = F.hash("kind", "normal")
     replaced = places.withColumn("_also", also).join(
