@@ -29,8 +29,9 @@ LOAD = "cass_shipment_id"
 MONTH = "ship_month"
 #: The month of lines without a ship date.
 NO_MONTH = "none"
-#: Lines that a bucket of all months should hold, and buckets at most.
-LINES_PER_BUCKET = 20_000_000
+#: Lines that a bucket of all months should hold, and buckets at most. One task reads and sorts
+#: a bucket: some 70 bytes a line from the shuffle, several times that in memory.
+LINES_PER_BUCKET = 2_000_000
 MOST_BUCKETS = 50_000
 #: Folders beside the months; readers of parquet pass over names that begin like this.
 _LAYOUT, _PRINTS = "_layout", "_fingerprints"

@@ -99,6 +99,11 @@ def test_buckets_follow_the_lines_and_a_hot_load_has_none(spark, ledger, tmp_pat
     assert layout.stored_ledger(spark, empty).count() == 0
 
 
+def test_a_bucket_is_a_small_part_of_a_large_ledger(spark):
+    lines = spark.range(9_000_000).selectExpr("cast(id div 4 as string) as cass_shipment_id")
+    assert layout.bucket_count(lines) >= 4, "a task writes a bucket, some 70 bytes a line from the shuffle"
+
+
 def test_replaced_months_leave_the_others(spark, ledger, stored):
     path, lines = stored
     before = months_of(path)
