@@ -24,7 +24,7 @@ from haulcost.operators import (
 )
 from haulcost.plans import parameters as p
 from haulcost.sources import layout
-from haulcost.sources.scratch import new_folder
+from haulcost.sources.scratch import cut_lineage, new_folder, release
 from haulcost.sources.star import star_ledger
 
 Job = Callable[[DataFrame], DataFrame]
@@ -265,11 +265,16 @@ def _stored(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _refreshed(spark: SparkSession, folder: str) -> DataFrame:
-    """Loads' fuel totals, stored before the late lines came and refreshed with them."""
-    ledger, path = star_ledger(spark, folder), new_folder(spark)
+    """Loads' fuel totals, stored before the late lines came and refreshed with them.
+
+    Two fingerprints and two jobs read the ledger, so it is derived once and stored for them.
+    """
+    ledger, path = cut_lineage(star_ledger(spark, folder)), new_folder(spark)
     layout.refresh(_loads, ledger.filter(F.col("created_on") < p.LATE_FROM), path)
     layout.refresh(_loads, ledger, path)
-    return layout.refreshed_result(spark, path, _loads(ledger))
+    result = layout.refreshed_result(spark, path, _loads(ledger))
+    release(ledger)
+    return result
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -11,8 +11,10 @@ from pyspark.sql import functions as F
 
 from conftest import line
 from haulcost.operators import fuel
+from haulcost.plans import catalogue
 from haulcost.sources import layout
 from haulcost.sources.ledger import LEDGER_SCHEMA
+from haulcost.sources.star import star_ledger
 
 
 def day(month, number=5):
@@ -177,3 +179,46 @@ def test_a_refresh_cut_off_before_its_last_step_is_done_again(spark, ledger, tmp
             layout.refresh(totals, late, path)
     assert layout.refresh(totals, late, path) == ["2022-02", "2022-03"]
     assert rows(layout.refreshed_result(spark, path, totals(late))) == rows(totals(late))
+
+
+def test_fingerprints_tell_values_apart(spark, ledger):
+    def of(**values):
+        return rows(layout.fingerprints(ledger(line("1", "FUEL CHARGE", 5, **values))))
+
+    nothing = dict(origin_state=None, destination_state=None, distance=None, bill_date=None)
+    kinds = [
+        {}, {"origin_state": "NY"}, {"destination_state": "NY"}, {"origin_state": ""}, {"distance": 0.0},
+        {"distance": -0.0}, {"distance": float("nan")}, {"amount_paid": None}, {"bill_date": day(1)},
+        {"created_on": day(1)}, {"deliver_date": day(1)}, {"amount_paid": 200.01},
+    ]
+    found = [of(**{**nothing, **kind}) for kind in kinds]
+    assert all(a != b for i, a in enumerate(found) for b in found[:i])
+    assert of(**nothing) == found[0]
+
+
+def test_the_refreshed_query_derives_the_ledger_once(spark, tmp_path, monkeypatch):
+    start = dt.datetime(1997, 8, 1)
+    lines = [(i // 3, i, float(i), start + dt.timedelta(days=i)) for i in range(1, 60)]
+    tables = {
+        "lineitem": spark.createDataFrame(lines, "l_orderkey long, l_partkey long, l_quantity double, l_shipdate timestamp"),
+        "orders": spark.createDataFrame(
+            [(i, i % 3, start + dt.timedelta(days=3 * i), "1-URGENT") for i in range(20)],
+            "o_orderkey long, o_custkey long, o_orderdate timestamp, o_orderpriority string",
+        ),
+        "customer": spark.createDataFrame([(i, i, "A") for i in range(3)], "c_custkey long, c_nationkey int, c_mktsegment string"),
+    }
+    for name, table in tables.items():
+        table.write.parquet(f"{tmp_path}/{name}.parquet")
+    refresh, seen = layout.refresh, []
+
+    def watched(job, ledger, path):
+        seen.append(ledger.inputFiles())
+        return refresh(job, ledger, path)
+
+    monkeypatch.setattr(layout, "refresh", watched)
+    found = catalogue.queries()["load_fuel_totals_refreshed"](spark, str(tmp_path))
+    plain = catalogue._loads(star_ledger(spark, str(tmp_path)))
+    assert rows(found) == rows(plain) != []
+    assert len(seen) == 2 and not [f for files in seen for f in files if "lineitem" in f]
+    stored = {pathlib.Path(f.removeprefix("file:")).parent for files in seen for f in files}
+    assert len(stored) == 1 and not stored.pop().exists()
