@@ -45,7 +45,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of all documents with their places in sequences."""
-    return packing.packed(cut_lineage(packing.pieces(docs)))
+    return packing.packed(packing.stored_pieces(docs))
 
 
 STAGES = [

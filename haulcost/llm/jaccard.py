@@ -43,7 +43,7 @@ from pyspark.sql import functions as F
 from haulcost.llm.components import components
 from haulcost.llm.shingles import overlap, set_hash, shingles
 from haulcost.llm.words import take
-from haulcost.sources.scratch import cut_lineage, release
+from haulcost.sources.scratch import cut_lineage, release, text_batches
 
 #: A shingle that more documents have comes last in the order; any value gives the same links.
 COMMON = 12
@@ -287,7 +287,8 @@ def linked(pairs: DataFrame, classes: DataFrame, documents: DataFrame) -> DataFr
     both = pairs.join(
         texts.select(F.col("class").alias("a"), F.col("text").alias("a_text")).hint("merge"), "a"
     ).join(texts.select(F.col("class").alias("b"), F.col("text").alias("b_text")).hint("merge"), "b")
-    found = cut_lineage(both.select("a", "b", "a_text", "b_text").mapInArrow(verify, "a long, b long"))
+    with text_batches(documents.sparkSession):
+        found = cut_lineage(both.select("a", "b", "a_text", "b_text").mapInArrow(verify, "a long, b long"))
     release(texts)
     return found
 
@@ -466,14 +467,17 @@ def jaccard_components(documents: DataFrame) -> DataFrame:
     ``version`` is the hash of the text, so that rows which share an id stay apart;
     ``root`` names the component whatever the ids, and is NULL for empty sets.
     """
-    statistics = cut_lineage(shingle_statistics(documents))
+    spark = documents.sparkSession
+    with text_batches(spark):
+        statistics = cut_lineage(shingle_statistics(documents))
     bitmap = common_shingles(statistics)
     total = statistics.filter("kind = 2").agg(F.sum("squares").alias("pairs"), F.sum("n").alias("rows")).first()
     sizes = {r.key: r.n for r in statistics.filter("kind = 1 and key > 0").collect()}
     release(statistics)
-    bitmap |= common_shingles(shingle_statistics(documents, bitmap))
     boundary = boundary_by_cost(sizes, 1 + (total.pairs or 0) / max(total.rows or 0, 1))
-    sets = cut_lineage(keyed_sets(documents, bitmap, boundary))
+    with text_batches(spark):
+        bitmap |= common_shingles(shingle_statistics(documents, bitmap))
+        sets = cut_lineage(keyed_sets(documents, bitmap, boundary))
     place = F.min(F.struct("doc_id", "version"))
     classes = cut_lineage(
         sets.groupBy("class")

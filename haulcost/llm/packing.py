@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from haulcost.llm.tokens import encoder, token_ids
 from haulcost.llm.words import square_root_buckets, take
-from haulcost.sources.scratch import cut_lineage
+from haulcost.sources.scratch import cut_lineage, text_batches
 
 #: Tokens of a sequence, and the id that ends every document.
 CAPACITY = 2048
@@ -82,6 +82,12 @@ def pieces(
     return docs.mapInArrow(cut, f"doc_id {kind}, {_PIECE}{ids}")
 
 
+def stored_pieces(documents: DataFrame, *what, **how) -> DataFrame:
+    """The pieces, cut once and stored."""
+    with text_batches(documents.sparkSession):
+        return cut_lineage(pieces(documents, *what, **how))
+
+
 def fullest(counts: dict[int, int], capacity: int) -> list[int]:
     """Lengths, largest first, whose sum comes closest to ``capacity`` without exceeding it.
 
@@ -187,6 +193,8 @@ def packed(cut: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     histogram = {r.length: r.n for r in cut.groupBy("length").agg(F.count("*").alias("n")).collect()}
     table = places(patterns(histogram, capacity))
     schema = "of long, first long, beyond long, uses long, sequence long, at long"
+    # As Arrow it becomes a local relation; rows of pandas would start Python workers for the transport.
+    table = pa.Table.from_pandas(table, preserve_index=False)
     where = F.broadcast(spark.createDataFrame(table, schema))
     rows = sum(histogram.values())
     since = F.col("rank") - F.col("first")
@@ -201,7 +209,7 @@ def packed(cut: DataFrame, capacity: int = CAPACITY) -> DataFrame:
 
 def sequences(documents: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """The packed sequences themselves: sequence_id and its ids in order."""
-    cut = cut_lineage(pieces(documents, capacity, with_ids=True))
+    cut = stored_pieces(documents, capacity, with_ids=True)
     ordered = F.sort_array(F.collect_list(F.struct("offset", "ids")))
     return (
         packed(cut, capacity)
@@ -212,7 +220,7 @@ def sequences(documents: DataFrame, capacity: int = CAPACITY) -> DataFrame:
 
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents, packed into sequences of 2048 tokens."""
-    cut = cut_lineage(pieces(spark.read.parquet(f"{sf_dir}/documents.parquet")))
+    cut = stored_pieces(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return packed(cut).select(
         "doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"
     )

@@ -13,6 +13,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Spark's own setting: a finished query gives back its shuffle files at once.
 SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Spark's own setting: rows that travel to a Python worker at once.
+ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+#: Rows at once where they carry whole texts: a batch lies several times in an executor,
+#: in buffers of the JVM and of the worker.
+TEXT_ROWS = 1000
 
 _folders: list[str] = []
 
@@ -40,14 +45,28 @@ def new_folder(spark: SparkSession) -> str:
 
 
 @contextmanager
-def shuffle_files_released(spark: SparkSession) -> Iterator[None]:
-    """Within, a query that ends gives back its shuffle files; its result must be stored."""
-    before = spark.conf.get(SHUFFLE_CLEANUP)
-    spark.conf.set(SHUFFLE_CLEANUP, "true")
+def _setting(spark: SparkSession, key: str, value: str) -> Iterator[None]:
+    before = spark.conf.get(key)
+    spark.conf.set(key, value)
     try:
         yield
     finally:
-        spark.conf.set(SHUFFLE_CLEANUP, before)
+        spark.conf.set(key, before)
+
+
+@contextmanager
+def shuffle_files_released(spark: SparkSession) -> Iterator[None]:
+    """Within, a query that ends gives back its shuffle files; its result must be stored."""
+    with _setting(spark, SHUFFLE_CLEANUP, "true"):
+        yield
+
+
+@contextmanager
+def text_batches(spark: SparkSession) -> Iterator[None]:
+    """Within, a query that runs hands ``TEXT_ROWS`` rows at most to a Python worker at once."""
+    now = int(spark.conf.get(ARROW_ROWS))  # none or less: no limit
+    with _setting(spark, ARROW_ROWS, str(min(now, TEXT_ROWS) if now > 0 else TEXT_ROWS)):
+        yield
 
 
 def cut_lineage(frame: DataFrame) -> DataFrame:
